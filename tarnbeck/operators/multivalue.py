@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnbeck.functions.batches import slices
+
 # Separators as they look; compatibility forms are folded to them first.
 SEPARATORS = "、,;/|\t\n\r\x0b\x0c\x85  ;⁄∕∣ǀ¦،؛‚"
 BRACKETS = {"(": ")", "[": "]", "{": "}", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "⟨": "⟩"}
@@ -316,7 +318,7 @@ def split_values(df: DataFrame, column: str, out_pos: str = "pos", out_item: str
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out_pos, T.IntegerType()), T.StructField(out_item, T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             items, owner = split_batch(batch.column(batch.num_columns - 1))
             count = np.bincount(owner, minlength=batch.num_rows)
             first = np.cumsum(count) - count
