@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnbeck.llm.bpe import encode
 from tarnbeck.llm.canonical import map_to_canonical
 from tarnbeck.llm.pieces import oversized, pieces
 from tarnbeck.llm.unify_text import unify
@@ -75,7 +76,11 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy("src", "form_id").agg(F.first("unified").alias("unified"), F.count("*").alias("n_stored_forms"), F.sum("n").alias("n_rows")).where("n_stored_forms > 1").drop("form_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p5_found, p5_groups)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p5_found, p5_groups, p7_ids)}
 
 ORACLE = {
     "p4_found": """

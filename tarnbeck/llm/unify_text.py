@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnbeck.functions.batches import slices
 from tarnbeck.llm.lookalikes import GREEK_INSIDE, KANA, RADICALS, TO_CYRILLIC, TO_LATIN
 
 WIDTH, ACCENT, INVISIBLE, SPACE, LOOKALIKE = 1, 2, 4, 8, 16
@@ -233,7 +234,7 @@ def unify(df: DataFrame, column: str, out: str = "unified", kinds: str = "kinds"
     names = {i: pa.array([[v for b, v in KINDS.items() if i & b]], pa.list_(pa.string())) for i in range(32)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, -3):
             text, form, mask = (batch.column(batch.num_columns - i) for i in (3, 2, 1))
             bits = np.zeros(batch.num_rows, np.uint8)
             rows = np.flatnonzero(np.asarray(mask))
