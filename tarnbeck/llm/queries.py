@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnbeck.llm.bpe import encode
 from tarnbeck.llm.canonical import map_to_canonical
 from tarnbeck.llm.pieces import oversized, pieces
+from tarnbeck.llm.reading import fit_reading_model, reading_levels
 from tarnbeck.llm.unify_text import unify
 from tarnbeck.session import table
 
@@ -80,7 +81,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p5_found, p5_groups, p7_ids)}
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and score of every document."""
+    documents = table(spark, sf_dir, "documents")
+    model = fit_reading_model(documents, table(spark, sf_dir, "reading_labels"))
+    return reading_levels(documents.select("doc_id", "text"), model).drop("text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_levels(spark, sf_dir).where("reading_level >= 4").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p5_found, p5_groups, p7_ids, p9_levels, p9_found)}
 
 ORACLE = {
     "p4_found": """
