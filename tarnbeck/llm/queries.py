@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.llm.bpe import encode
 from tarnbeck.llm.canonical import map_to_canonical
+from tarnbeck.llm.mixing import mix_documents
 from tarnbeck.llm.pieces import oversized, pieces
 from tarnbeck.llm.reading import fit_reading_model, reading_levels
 from tarnbeck.llm.unify_text import unify
@@ -81,6 +82,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
 
 
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document in the mixture; read in order of (slot, start, doc_id)."""
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).rows
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+
+
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level and score of every document."""
     documents = table(spark, sf_dir, "documents")
@@ -92,7 +103,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level >= 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p5_found, p5_groups, p7_ids, p9_levels, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p9_levels, p9_found)}
 
 ORACLE = {
     "p4_found": """
