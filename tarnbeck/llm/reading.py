@@ -70,6 +70,12 @@ class Parsed:
     sentence_chars: np.ndarray
     sentence_commas: np.ndarray
 
+    def sorted_tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Order that puts equal tokens of a document side by side, in text order, and whether each equals the one before."""
+        cell = _mix(self.key ^ (self.doc_of_sentence[self.sentence].astype(np.int64) * 0x9E3779B1))
+        order = np.argsort(cell, kind="stable")
+        return order, np.diff(cell[order]) == 0
+
 
 def parse(texts: list[str]) -> Parsed:
     """Han bigrams and words as 63-bit keys, vectorised over all texts."""
@@ -124,14 +130,11 @@ def _mean(values: np.ndarray, group: np.ndarray, n: int, empty: float) -> np.nda
     return np.where(count > 0, np.bincount(group, values, n) / np.maximum(count, 1), empty)
 
 
-_CONNECT = None
-
-
-def _connective_keys() -> np.ndarray:
-    global _CONNECT
-    if _CONNECT is None:
-        _CONNECT = np.unique(parse(CONNECTIVES).key)
-    return _CONNECT
+def _connective_index() -> _Hash:
+    if not hasattr(_connective_index, "hash"):
+        keys = np.array(sorted(set(parse(CONNECTIVES).key.tolist())), np.int64)
+        _connective_index.hash = _Hash(keys, np.arange(len(keys)))
+    return _connective_index.hash
 
 
 def features(p: Parsed, lexicon: Lexicon) -> np.ndarray:
@@ -164,17 +167,39 @@ def features(p: Parsed, lexicon: Lexicon) -> np.ndarray:
         *(p.chars[:, k] / size for k in (_HAN, _WORD, _DIGIT, _COMMA, _SEMI, _OPEN, _MARK, _END)),
         _mean(p.sentence_commas[real], sd[real], n, 0.0), *_quantiles(p.sentence_commas[real], sd[real], n, (0.5, 0.9), 0.0).T,
     ]
-    # types, cohesion
-    cell = np.unique(_mix(p.key ^ (doc.astype(np.int64) * 0x9E3779B1)) if len(doc) else p.key, return_index=True)[1]
-    cols.append(np.bincount(doc[cell], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1))
-    tag = lambda s: _mix(p.key ^ (s.astype(np.int64) * 0x85EBCA6B))
-    before = np.isin(tag(p.sentence - 1), tag(p.sentence)) if len(p.key) else np.zeros(0, bool)
-    before &= np.concatenate(([False], sd[1:] == sd[:-1]))[p.sentence] if ns else before
-    cols.append(_mean(before.astype(float), doc, n, 0.0))
-    cols.append(_mean(np.isin(p.key, _connective_keys()).astype(float), doc, n, 0.0))
+    # types, cohesion: equal tokens of a document side by side, in text order
+    order, same = p.sorted_tokens()
+    gap = np.diff(p.sentence[order])
+    cell = doc[order]
+    new = np.concatenate(([True], ~same))[: len(order)]
+    fresh = new | np.concatenate(([True], gap > 0))[: len(order)]  # first of its kind in its sentence
+    follows = np.concatenate(([False], same & (gap == 1)))[: len(order)]
+    cols.append(np.bincount(cell[new], minlength=n) / np.maximum(np.bincount(doc, minlength=n), 1))
+    cols.append(_mean(follows[fresh].astype(float), cell[fresh], n, 0.0))
+    cols.append(_mean((_connective_index().get(p.key) >= 0).astype(float), doc, n, 0.0))
     return np.column_stack(cols).astype(np.float32)
 
 
+#: Tokens, the number of documents that hold each, and the sum of those documents' levels.
+Stats = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray], totals: list[np.ndarray]) -> Stats:
+    if not sum(map(len, keys)):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    key, count, total = np.concatenate(keys), np.concatenate(counts), np.concatenate(totals)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0)))
+    return key[first], np.add.reduceat(count[order], first), np.add.reduceat(total[order], first)
+
+
+def token_stats(p: Parsed, level: np.ndarray) -> Stats:
+    order, same = p.sorted_tokens()
+    first = order[np.concatenate(([True], ~same))[: len(order)]]
+    return _summed([p.key[first]], [np.ones(len(first))], [level[p.doc_of_sentence[p.sentence[first]]]])
+
+
 @dataclass
 class Lexicon:
     """Difficulty of tokens: the smoothed mean level of the documents that hold them."""
@@ -184,14 +209,8 @@ class Lexicon:
     centre: float
 
     @classmethod
-    def fit(cls, p: Parsed, level: np.ndarray, prior: float = 2.0, least: int = 3) -> Lexicon:
-        doc = p.doc_of_sentence[p.sentence]
-        key, code = np.unique(p.key, return_inverse=True)
-        pair = np.unique(code.astype(np.int64) * p.n + doc)
-        token, d = pair // p.n, pair % p.n
-        # By the share of the document's tokens, so that a stray sentence counts little.
-        count, total = np.bincount(token, minlength=len(key)), np.bincount(token, level[d], len(key))
-        centre = float(level.mean()) if len(level) else 3.0
+    def of(cls, stats: list[Stats], centre: float, prior: float = 2.0, least: int = 3) -> Lexicon:
+        key, count, total = _summed([s[0] for s in stats], [s[1] for s in stats], [s[2] for s in stats])
         value = (total + prior * centre) / (count + prior)
         keep = np.flatnonzero(count >= least)
         keep = keep[np.argsort(-count[keep], kind="stable")][:MAX_LEXICON]
@@ -333,23 +352,16 @@ def train(texts: list[str], level: np.ndarray, source: list[str | None], folds:
         fold = np.arange(len(texts)) % folds
     # Token difficulty for training rows comes from documents of other parts, so that none sees its own label.
     part = np.arange(len(texts)) % 5
-    pick = lambda rows: [texts[i] for i in rows.tolist()]
-    parsed = [parse(pick(np.flatnonzero(part == k))) for k in range(5)]
-
-    def crossed(use: np.ndarray) -> np.ndarray:
-        """Features of all rows; the lexicon of each part is fitted on the used rows of the others."""
-        x = None
-        for k in range(5):
-            other = np.flatnonzero(use & (part != k))
-            lex = Lexicon.fit(parse(pick(other)), level[other])
-            mine = features(parsed[k], lex)
-            if x is None:
-                x = np.zeros((len(texts), mine.shape[1]), np.float32)
-            x[part == k] = mine
-        return x
-
-    everything = np.ones(len(texts), bool)
-    x = crossed(everything)
+    chunks = [(k, rows) for k in range(5) for rows in np.array_split(np.flatnonzero(part == k), max(1, len(texts) // 5 // 500)) if len(rows)]
+    read = lambda rows: parse([texts[i] for i in rows.tolist()])
+    stats = [(k, token_stats(read(rows), level[rows])) for k, rows in chunks]
+    lexicons = [Lexicon.of([s for j, s in stats if j != k], float(level[part != k].mean())) for k in range(5)]
+    x = np.zeros((0, 0), np.float32)
+    for k, rows in chunks:
+        mine = features(read(rows), lexicons[k])
+        if not len(x):
+            x = np.zeros((len(texts), mine.shape[1]), np.float32)
+        x[rows] = mine
     held = np.full(len(texts), level.mean())
     for k in sorted(set(fold.tolist())):
         rest = np.flatnonzero(fold != k)
@@ -361,7 +373,7 @@ def train(texts: list[str], level: np.ndarray, source: list[str | None], folds:
     for s in sorted(count):
         m = np.array([t == s for t in names])
         report.append({"source": s, "n": int(m.sum()), "mean_abs_error": float(np.abs(done[m] - level[m]).mean()), "within_half": float((np.abs(done[m] - level[m]) <= 0.5).mean())})
-    lexicon = Lexicon.fit(parse(texts), level)
+    lexicon = Lexicon.of([s for _, s in stats], float(level.mean()))
     return ReadingModel(lexicon, Boosted().fit(x, level), knots, report)
 
 
