@@ -14,12 +14,14 @@ count, not a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tarnbeck.session import materialize
+from tarnbeck.session import materialize, write_out
 
 RAKED, SPLICED, KEPT = "raked", "spliced", "kept"
+#: Rounds take turns with these seeds; few, so that generated code is reused.
+SEEDS = 3
 
 
 def clean_links(df: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
@@ -41,29 +43,45 @@ def extra_parents(df: DataFrame, child: str = "child_id", parent: str = "parent_
     return links.join(tree, "node").where("parent != kept_parent").distinct()
 
 
-def _order(c: Column | str) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.struct(F.xxhash64(c).alias("h"), c.alias("k"))
+def _order(c: str, turn: int) -> Column:
+    return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("k"))
 
 
-def _round(live: DataFrame, last: DataFrame | None, paths: bool) -> DataFrame:
-    """``live`` with the fate of each node in this round.
+def _round(live: DataFrame, turn: int, paths: bool) -> DataFrame:
+    """One round: the removed rows as they were, with their fate, and the kept ones with their new links.
 
     live: node, parent (null for a root), steps (links that the link to the parent
     stands for), least (smallest node spliced into that link), inner (those nodes, from
-    the top).
+    the top). The rows are shuffled by node once; the counts of children and the
+    messages of spliced nodes to their child meet them there.
     """
     moving = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
     below = live.where(moving).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("below"), F.min("node").alias("only"))
-    seen = live.join(below, "node", "left")
-    unary = moving & (F.col("below") == 1) & (_order("node") < _order("only")) & (_order("node") < _order("parent"))
-    return seen.withColumn("fate", F.when(moving & F.col("below").isNull(), RAKED).when(unary, SPLICED).otherwise(KEPT))
+    unary = moving & (F.col("below") == 1) & (_order("node", turn) < _order("only", turn)) & (_order("node", turn) < _order("parent", turn))
+    seen = live.join(below, "node", "left").withColumn("fate", F.when(moving & F.col("below").isNull(), RAKED).when(unary, SPLICED).otherwise(KEPT)).drop("below")
+    gone = seen.where(F.col("fate") == SPLICED).select(
+        F.col("only").alias("node"), F.col("node").alias("via"), F.col("parent").alias("up"), F.col("steps").alias("up_steps"), F.col("least").alias("up_least"), *([F.col("inner").alias("up_inner")] if paths else [])
+    )
+    joined = seen.join(gone, "node", "left")
+    cut = (F.col("fate") == KEPT) & F.col("via").isNotNull()
+    columns = [
+        "node",
+        "fate",
+        "only",
+        F.when(cut, F.col("up")).otherwise(F.col("parent")).alias("parent"),
+        F.when(cut, F.col("steps") + F.col("up_steps")).otherwise(F.col("steps")).alias("steps"),
+        F.when(cut, F.least("least", "via", "up_least")).otherwise(F.col("least")).alias("least"),
+    ]
+    if paths:
+        columns.append(F.when(cut, F.concat("up_inner", F.array("via"), "inner")).otherwise(F.col("inner")).alias("inner"))
+    return joined.select(*columns)
 
 
 def contract(links: DataFrame, paths: bool = False) -> tuple[list[DataFrame], DataFrame]:
     """The rounds' removals, and the core: roots, and one self-linked node for each cycle.
 
     links: node, parent, each node once. Parents that have no row of their own are roots.
+    Each round is one write; how many rows it removed is observed on the way.
     """
     roots = links.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
     live = links.withColumn("steps", F.lit(1).cast("long")).withColumn("least", F.lit(None).cast("string")).withColumn("inner", F.array().cast("array<string>"))
@@ -73,29 +91,15 @@ def contract(links: DataFrame, paths: bool = False) -> tuple[list[DataFrame], Da
     live = materialize(live, "forest")
     rounds: list[DataFrame] = []
     while True:
-        step = materialize(_round(live, None, paths), "round")
-        left = {r["fate"]: r["n"] for r in step.groupBy("fate").agg(F.count("*").alias("n")).collect()}  # at most three rows
-        kept = step.where(F.col("fate") == KEPT).drop("below", "only", "fate")
-        if not left.get(RAKED) and not left.get(SPLICED):
-            return rounds, kept
-        rounds.append(step.where(F.col("fate") != KEPT).drop("below"))
-        if not left.get(SPLICED):
-            live = kept
-            continue
-        gone = step.where(F.col("fate") == SPLICED).select(
-            F.col("only").alias("node"), F.col("node").alias("via"), F.col("parent").alias("up"), F.col("steps").alias("up_steps"), F.col("least").alias("up_least"), *([F.col("inner").alias("up_inner")] if paths else [])
-        )
-        joined = kept.join(gone, "node", "left")
-        cut = F.col("via").isNotNull()
-        columns = [
-            "node",
-            F.when(cut, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-            F.when(cut, F.col("steps") + F.col("up_steps")).otherwise(F.col("steps")).alias("steps"),
-            F.least("least", "via", "up_least").alias("least"),
-        ]
-        if paths:
-            columns.append(F.when(cut, F.concat("up_inner", F.array("via"), "inner")).otherwise(F.col("inner")).alias("inner"))
-        live = joined.select(*columns)
+        seen = Observation()
+        step = materialize(_round(live, len(rounds) % SEEDS, paths).observe(seen, F.count_if(F.col("fate") != KEPT).alias("removed")), "round")
+        live = step.where(F.col("fate") == KEPT).drop("only", "fate")
+        if not seen.get["removed"]:
+            # A round without any leaf ends it only if nothing is left that could ever move.
+            moving = live.where("parent is not null and parent != node")
+            if moving.limit(1).count() == 0:
+                return rounds, live
+        rounds.append(step.where(F.col("fate") != KEPT))
 
 
 def expand(rounds: list[DataFrame], core: DataFrame, paths: bool = False) -> DataFrame:
@@ -109,6 +113,7 @@ def expand(rounds: list[DataFrame], core: DataFrame, paths: bool = False) -> Dat
         cyclic.alias("on_cycle"),
         *([F.when(~cyclic, F.array("node")).alias("path")] if paths else []),
     )
+    spark, schema, parts = done.sparkSession, done.schema, [write_out(done, "grown")]
     above = ["root", "depth", "cycle_id", *(["path"] if paths else [])]
 
     def hang(removed: DataFrame, on: DataFrame) -> DataFrame:
@@ -126,14 +131,13 @@ def expand(rounds: list[DataFrame], core: DataFrame, paths: bool = False) -> Dat
         )
 
     for removed in reversed(rounds):
+        done = spark.read.schema(schema).parquet(*parts)  # one scan, however many parts
         # Spliced nodes first: leaves raked in the same round may hang from them.
         ring = done.where("on_cycle").select(F.col("node").alias("only"), F.lit(True).alias("ring"))
-        spliced = hang(removed.where(F.col("fate") == SPLICED), done).join(ring, "only", "left")
-        done = done.unionByName(below(spliced, F.coalesce("ring", F.lit(False))))
-        done = materialize(done, "grown")
-        raked = hang(removed.where(F.col("fate") == RAKED), done)
-        done = done.unionByName(below(raked, F.lit(False)))
-    return materialize(done, "tree")
+        spliced = below(hang(removed.where(F.col("fate") == SPLICED), done).join(ring, "only", "left"), F.coalesce("ring", F.lit(False)))
+        raked = below(hang(removed.where(F.col("fate") == RAKED), done.unionByName(spliced)), F.lit(False))
+        parts.append(write_out(spliced.unionByName(raked), "grown"))
+    return spark.read.schema(schema).parquet(*parts)
 
 
 def hierarchy(df: DataFrame, child: str = "child_id", parent: str = "parent_id", paths: bool = True) -> DataFrame:

@@ -28,15 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
+def write_out(df: DataFrame, name: str) -> str:
+    """Write ``df`` to a folder of its own in the shared folder; returns the path."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     The files outlive any executor, so a lost executor costs only its tasks.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_out(df, name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
