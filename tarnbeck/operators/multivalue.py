@@ -305,26 +305,49 @@ def split_batch(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return items.filter(full).cast(pa.string()), owner[np.asarray(full)]
 
 
+#: Bytes of repeated columns in one output batch; Arrow strings end at 2 GB.
+OUTPUT_BYTES = 64_000_000
+
+
+def _weights(columns: list[pa.Array], n: int) -> np.ndarray:
+    """Bytes that one repetition of each row takes."""
+    size = np.full(n, 64, np.int64)
+    for c in columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(c), 0)).astype(np.int64)
+        elif pa.types.is_nested(c.type):
+            size += max(1, c.nbytes // max(1, n))
+    return size
+
+
 def split_values(df: DataFrame, column: str, out_pos: str = "pos", out_item: str = "item", least: int = 1) -> DataFrame:
-    """One row per value of ``column``; other columns are repeated, ``out_pos`` counts from 1.
+    """One row per value of ``column``: the other columns, repeated, the position from 1, and the item.
 
     Null, empty and separator-only fields give no row; repeated values keep their own
-    position; ``least`` leaves out fields with fewer values. The output columns
-    replace columns of the same name. Narrow: no shuffle.
+    position; ``least`` leaves out fields with fewer values. ``column`` itself is not repeated
+    (a long field would be multiplied by its own length); the output columns replace columns of
+    the same name. Narrow: no shuffle.
     """
-    source = f"__{column}_packed"
-    keep = [c for c in df.columns if c not in (out_pos, out_item)]
-    data = df.select(*keep, F.col(column).cast("string").alias(source))
+    keep = [c for c in df.columns if c not in (column, out_pos, out_item)]
+    data = df.select(*keep, F.col(column).cast("string").alias("__packed"))
     schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out_pos, T.IntegerType()), T.StructField(out_item, T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            items, owner = split_batch(batch.column(batch.num_columns - 1))
+            *others, packed = batch.columns
+            items, owner = split_batch(packed)
             count = np.bincount(owner, minlength=batch.num_rows)
             first = np.cumsum(count) - count
             pos = (np.arange(len(owner)) - first[owner] + 1).astype(np.int32)
-            wanted = count[owner] >= least
-            at = pa.array(owner[wanted])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(batch.num_columns - 1)), pa.array(pos[wanted]), items.filter(pa.array(wanted))], names=[*keep, out_pos, out_item])
+            wanted = np.flatnonzero(count[owner] >= least)
+            weight = np.cumsum(_weights(others, batch.num_rows)[owner[wanted]])
+            lo = 0
+            while lo < len(wanted):
+                done = weight[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(weight, done + OUTPUT_BYTES, "right")))
+                rows = wanted[lo:hi]
+                at = pa.array(owner[rows])
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in others), pa.array(pos[rows]), items.take(pa.array(rows))], names=[*keep, out_pos, out_item])
+                lo = hi
 
     return data.mapInArrow(cut, schema)
