@@ -1,13 +1,14 @@
 """Text functions: normal forms, tokens, spans, extraction and quality.
 
-Everything but NFKC stays in the JVM; NFKC runs vectorised in Arrow and only for
-values that are not plain ASCII.
+Everything but NFKC stays in the JVM; NFKC runs on the distinct values of an Arrow
+batch, and only for values that are not plain ASCII.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,9 @@ def _c(c: Column | str) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _nfkc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, form="NFKC")
+    # Each distinct value once. Arrow's own utf8_normalize leaves NFC and NFKC decomposed.
+    coded = values.dictionary_encode()
+    return pa.array([unicodedata.normalize("NFKC", v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
 
 def nfkc(c: Column | str) -> Column:
@@ -134,8 +137,6 @@ def normalised_spans(raw: pa.Array, phrase: pa.Array) -> pa.Array:
     An occurrence that begins or ends within one raw character (a ligature) takes
     that character whole. Null text or phrase gives null, an empty phrase no span.
     """
-    import unicodedata
-
     out = []
     for text, want in zip(raw.to_pylist(), phrase.to_pylist()):
         if text is None or want is None:

@@ -126,7 +126,7 @@ class _Tables(HTMLParser):
             self._close()
 
     def handle_data(self, data: str) -> None:
-        if self.cell is not None:
+        if self.cell is not None and self.depth == 1:  # a table within a cell is not its text
             self.cell["text"] += data
 
 
