@@ -113,6 +113,11 @@ def _points(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, np.cumsum(ends) - ends
 
 
+def _nfkc(values: list[str]) -> pa.Array:
+    """Compatibility composition of distinct values (Arrow's utf8_normalize does not compose)."""
+    return pa.array([unicodedata.normalize("NFKC", v) for v in values], pa.string())
+
+
 def _text(points: np.ndarray) -> pa.Array:
     whole = points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
     return pa.array(whole.split("￿")[:-1], pa.string())
@@ -204,15 +209,14 @@ def unify_values(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
             if (unicodedata.combining(b) or "ᅡ" <= b <= "ᇿ") and len(unicodedata.normalize("NFC", a + b)) == 1:
                 kinds[i] |= ACCENT
                 break
-    points, owner = _points(pc.utf8_normalize(text, form="NFKC"))
+    points, owner = _points(_nfkc(text.to_pylist()))
     points = t.one[points]
     folded, changed = _fold_lookalikes(points)
     kinds[owner[changed]] |= LOOKALIKE
     # Chains of blanks and of line ends are one; none at either end.
     form = pc.replace_substring_regex(_text(folded), "[ \\t\\x{b}\\f]*\\n\\s*", "\n")
     form = pc.utf8_trim_whitespace(pc.replace_substring_regex(form, "[ \\t\\x{b}\\f]+", " "))
-    form = pa.array([s.casefold() for s in form.to_pylist()], pa.string())
-    return pc.utf8_normalize(form, form="NFKC"), kinds
+    return _nfkc([s.casefold() for s in form.to_pylist()]), kinds
 
 
 def unify(df: DataFrame, column: str, out: str = "unified", kinds: str = "kinds") -> DataFrame:

@@ -27,16 +27,17 @@ def kinds_of(s):
         ("ｶﾚｰ", "カレー", {"width"}),
         ("萝ﾄ干", "萝卜干", {"width", "lookalike"}),
         ("⻥及⽔", "鱼及水", {"lookalike"}),
-        ("不要", "不要", {"lookalike"}),
-        ("crème", "crème", {"accent"}),
-        ("crème", "crème", set()),
-        ("김치", "김치", {"accent"}),
+        ("\uf967要", "不要", {"lookalike"}),
+        ("cre\u0300me", "cr\u00e8me", {"accent"}),
+        ("cr\u00e8me", "cr\u00e8me", set()),
+        ("\u1100\u1175\u11b7\u110e\u1175", "\uae40\uce58", {"accent"}),
         ("R²Y Na₂CO₃", "r2y na2co3", set()),
         ("β-胡萝卜素 α µg", "β-胡萝卜素 α μg", set()),
         ("（繁體），。！", "(繁體),。!", set()),
         ("不‌饿", "不饿", {"invisible"}),
         (" a　b\t", "a b", {"space"}),
-        ("a b", "a b", {"space"}),
+        ("a\u2028b", "a\nb", {"space"}),
+        ("a\u00a0b", "a b", {"space"}),
         ("👨‍👩‍👧吃❤️", "👨👩👧吃❤", set()),
         ("", "", set()),
         ("   ", "", set()),
