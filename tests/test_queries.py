@@ -1,9 +1,9 @@
 import pytest
 from compare import DATA, duck, duck_rows, spark_rows
 
-from tarnbeck.plans import general, knowledge, retrieval
+from tarnbeck.plans import general, ingestion, knowledge, retrieval
 
-MODULES = (general, retrieval, knowledge)
+MODULES = (general, retrieval, knowledge, ingestion)
 SF = DATA / "sf0.001"
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables here")
 
