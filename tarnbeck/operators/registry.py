@@ -44,10 +44,27 @@ def latest(events: DataFrame, key: str, order: list[str], value: str, out: str =
     return events.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(out))
 
 
-def transitions(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """(from_value, to_value, n): how often one event follows another of the same key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    pairs = events.withColumn("from_value", F.lag(value).over(w)).where("from_value is not null")
+def with_previous(events: DataFrame, key: str, order: list[str], value: str, bucket: Column | None = None, out: str = "previous") -> DataFrame:
+    """``events`` with the value of the row before in its key's order; null for the first.
+
+    ``bucket`` is any expression that never falls along the order (the month of a
+    timestamp): then a key's rows are sorted bucket by bucket in different tasks,
+    and only the last row of each bucket meets the next, so a hot key is no single task's work.
+    """
+    if bucket is None:
+        return events.withColumn(out, F.lag(value).over(Window.partitionBy(key).orderBy(*order)))
+    b = events.withColumn("__b", bucket)
+    within = Window.partitionBy(key, "__b").orderBy(*order)
+    inner = b.withColumn("__n", F.row_number().over(within)).withColumn(out, F.lag(value).over(within))
+    ends = b.groupBy(key, "__b").agg(F.max_by(F.col(value), F.struct(*order)).alias("__last"))
+    carried = ends.withColumn("__before", F.lag("__last").over(Window.partitionBy(key).orderBy("__b"))).select(key, "__b", "__before")
+    joined = inner.join(carried, (inner[key].eqNullSafe(carried[key])) & (inner["__b"].eqNullSafe(carried["__b"])), "left").drop(carried[key]).drop(carried["__b"])
+    return joined.withColumn(out, F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col(out))).drop("__b", "__n", "__before")
+
+
+def transitions(events: DataFrame, key: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """(from_value, to_value, n): how often one event follows another of the same key; events without a value are none. ``bucket`` as in :func:`with_previous`."""
+    pairs = with_previous(events.where(F.col(value).isNotNull()), key, order, value, bucket, "from_value").where("from_value is not null")
     return pairs.groupBy("from_value", F.col(value).alias("to_value")).agg(F.count("*").alias("n"))
 
 

@@ -196,7 +196,7 @@ def latest_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "reviews").where("query_id != ''").select("id", "query_id", "created_at", "action").distinct()
-    return registry.transitions(r, "query_id", ["created_at", "id"], "action")
+    return registry.transitions(r, "query_id", ["created_at", "id"], "action", F.date_trunc("month", F.col("created_at").cast("timestamp")))
 
 
 def monthly_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

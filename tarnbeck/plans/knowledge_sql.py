@@ -103,7 +103,7 @@ with f as (select designation, arg_min(coalesce(title, chr(1)), doc_id) t, arg_m
 select doc_id, designation from documents join f using (designation) where (title <> t and title <> '' and t <> '' and t <> chr(1)) or (lang <> l and lang <> '' and l <> '' and l <> chr(1))""",
     "latest_reviews": "select query_id, action from (select query_id, action, row_number() over (partition by query_id order by created_at desc, id desc) rk from reviews where query_id <> '') where rk = 1",
     "review_transitions": """
-with r as (select distinct id, query_id, created_at, action from reviews where query_id <> ''), p as (select lag(action) over (partition by query_id order by created_at, id) a, action b from r)
+with r as (select distinct id, query_id, created_at, action from reviews where query_id <> '' and action is not null), p as (select lag(action) over (partition by query_id order by created_at, id) a, action b from r)
 select a from_value, b to_value, count(*) n from p where a is not null and b is not null group by all""",
     "monthly_outcomes": """
 with q as (select distinct id, status, strftime(created_at, '%Y-%m') as month from queries)

@@ -118,6 +118,14 @@ def test_registry(spark):
     assert rows(registry.revision_errors(revisions, "id", "prev")) == {("BRANCHED", "r1"), ("PREVIOUS_MISSING", "r4")}
 
 
+@pytest.mark.parametrize("width", [1, 3, 100])
+def test_previous_in_buckets_equals_one_sort(spark, width):
+    d = spark.createDataFrame([("hot" if i % 3 else f"k{i % 7}", (i * 37) % 101, str(i)) for i in range(120)] + [(None, 5, "n"), (None, 6, "m")], "k string, t int, v string")
+    plain = registry.with_previous(d, "k", ["t", "v"], "v")
+    assert rows(registry.with_previous(d, "k", ["t", "v"], "v", F.floor(F.col("t") / width)), "k", "t", "v", "previous") == rows(plain, "k", "t", "v", "previous")
+    assert rows(registry.transitions(d, "k", ["t", "v"], "v", F.floor(F.col("t") / width))) == rows(registry.transitions(d, "k", ["t", "v"], "v"))
+
+
 def test_tiers(spark):
     left = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string")
     t = lambda *r: spark.createDataFrame(list(r), "k string, target string")
