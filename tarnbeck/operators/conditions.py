@@ -183,14 +183,13 @@ def evaluate_trees(df: DataFrame, tree_column: str, facts_column: str, out: str
     trees = [r[0] for r in df.select(tree_column).where(F.col(tree_column).isNotNull()).distinct().limit(MAX_TREES + 1).collect()]
     if len(trees) > MAX_TREES:
         raise ValueError(f"more than {MAX_TREES} distinct conditions")
-    state = F.lit(UNKNOWN)
+    state = F.when(F.lit(False), UNKNOWN)  # one flat CASE, however many trees
     for text in sorted(trees):
         try:
-            tree = json.loads(text)
+            state = state.when(F.col(tree_column) == text, compile_condition(json.loads(text), F.col(facts_column)))
         except ValueError:
             continue
-        state = F.when(F.col(tree_column) == text, compile_condition(tree, F.col(facts_column))).otherwise(state)
-    return df.withColumn(out, state)
+    return df.withColumn(out, state.otherwise(UNKNOWN))
 
 
 def evaluate_wrapped(df: DataFrame, condition: str, facts: str, out: str = "state") -> DataFrame:

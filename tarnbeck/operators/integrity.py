@@ -41,7 +41,10 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], content: list
     Each key is expected once in a snapshot; if it comes with several contents, the set of them counts.
     """
     def signed(df: DataFrame, name: str) -> DataFrame:
-        return df.dropna(subset=keys).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(row_hash(*content))), "").alias(name))
+        # Order-free signature of the key's contents, combined map-side: nothing is collected.
+        one = df.dropna(subset=keys).select(*keys, row_hash(*content).alias("__h")).distinct()
+        parts = [F.count("*").alias("n"), *(F.bit_xor(F.conv(F.substring("__h", at, 15), 16, 10).cast("long")).alias(f"x{at}") for at in (1, 16, 31, 46))]
+        return one.groupBy(*keys).agg(*parts).select(*keys, F.concat_ws("-", "n", "x1", "x16", "x31", "x46").alias(name))
 
     both = signed(old, "__old").join(signed(new, "__new"), keys, "full_outer")
     change = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") != F.col("__new"), "changed")

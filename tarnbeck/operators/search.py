@@ -95,7 +95,11 @@ def write_postings(index: DataFrame, path: str, partitions: int = 200) -> None:
 
 
 def candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase_id, record_id): records that hold every index term of a phrase."""
+    """(phrase_id, record_id): records that hold every index term of a phrase.
+
+    For phrases few enough that their terms' postings can be listed; :func:`phrase_matches`
+    goes by the rarest term only.
+    """
     wanted = phrases.select("phrase_id", F.explode(tokens("phrase", query=True)).alias("token"))
     need = wanted.groupBy("phrase_id").agg(F.count("*").alias("need"))
     found = index.join(wanted, "token").groupBy("phrase_id", "record_id").agg(F.count("*").alias("have"))
@@ -117,19 +121,23 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, mode: str = "zh_ngram_p
     held = texts.select("record_id", "field", "ord", form("text").alias("form")).where("form is not null and form != ''")
     small = asked.count() <= BROADCAST_PHRASES
     hint = F.broadcast if small else (lambda d: d)
-    terms = F.array_distinct(tokens("form", normalised=True))
-    spread = held.withColumn("term", F.explode(terms))
     wanted = asked.select("phrase_id", F.explode("terms").alias("term"))
+    # Few phrases: the text itself rides along to the broadcast. Many: only its key is shuffled by term, and the text meets it again.
+    ride = ["record_id", "field", "ord", *(["form"] if small else [])]
+    spread = held.select(*ride, F.explode(F.array_distinct(tokens("form", normalised=True))).alias("term"))
     often = spread.join(hint(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     rarest = (
         wanted.join(often, "term", "left")
         .groupBy("phrase_id")
         .agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-        .join(asked.select("phrase_id", "want"), "phrase_id")
+        .join(asked.select("phrase_id", "want").distinct(), "phrase_id")
     )
-    found = spread.join(hint(rarest), "term").where(F.contains("form", "want"))
+    found = spread.join(hint(rarest), "term").drop("term")
+    if not small:
+        found = found.join(held, ["record_id", "field", "ord"])
+    found = found.where(F.contains("form", "want")).select("record_id", "field", "ord", "form", "phrase_id", "want")
     bare = asked.where(F.size("terms") == 0).select("phrase_id", "want")
-    found = found.drop("term").unionByName(held.join(hint(bare), F.contains("form", "want")))
+    found = found.unionByName(held.join(hint(bare.distinct()), F.contains("form", "want")))
     named = F.col("field").isin("name", "project")
     kind = F.when(named & (F.col("form") == F.col("want")), "exact_name").when(named, "related_name").otherwise("phrase_evidence")
     return found.withColumn("kind", kind).withColumn("score", weight("field") + F.when(F.col("kind") == "exact_name", EXACT_NAME_BONUS).otherwise(0))

@@ -222,7 +222,7 @@ def tiered_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asset_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of distinct assets, and the hash of the set, for each media type."""
     a = table(spark, sf_dir, "source_asset").where("asset_id is not null")
-    return integrity.set_hash(a, ["media_type"], F.col("asset_id"), hot_cells=1)
+    return integrity.set_hash(a, ["media_type"], F.col("asset_id"))
 
 
 def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,10 @@ t as (select bridge_id, entry_id e, 1 tier from b join canonical_food c on c.nam
   union all select bridge_id, entry_id, 3 from (select bridge_id, unnest(targets) t from b) join canonical_food c on c.name = t),
 f as (select bridge_id, min(tier) tier from t group by bridge_id), g as (select t.bridge_id, t.tier, count(distinct e) k, min(e) e from t join f using (bridge_id, tier) group by all)
 select bridge_id, case when k = 1 then e end target, tier::bigint tier from b left join g using (bridge_id)""",
-    "asset_manifests": "select media_type, count(*) n_members, sha256(sha256(string_agg(h, '' order by h))) manifest from (select distinct media_type, sha256(asset_id) h from source_asset where asset_id is not null) group by media_type",
+    "asset_manifests": """
+with h as (select distinct media_type, sha256(asset_id) h from source_asset where asset_id is not null),
+c as (select media_type, ('0x' || substr(h, 1, 8))::bigint % 1024 cell, count(*) n, sha256(string_agg(h, '' order by h)) c from h group by 1, 2)
+select media_type, sum(n)::bigint n_members, sha256(string_agg(c, '' order by cell)) manifest from c group by media_type""",
     "file_checks": """select media_type, case when not coalesce(regexp_matches(asset_id, '^[0-9a-f]{64}$'), false) then 'malformed_id' when coalesce(storage_key <> 'objects/' || substr(asset_id, 1, 2) || '/' || asset_id, true) then 'misplaced' else 'ok' end status,
   count(distinct asset_id) n from source_asset group by all""",
     "manifest_status": """

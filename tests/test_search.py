@@ -49,6 +49,12 @@ def test_every_substring(spark):
     assert got == {p: {t[0] for t in texts if t[3] and p in t[3]} for p in parts}
 
 
+def test_many_phrases_take_the_other_way(spark, corpus, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_PHRASES", 1)
+    got = found(search.phrase_matches(corpus, phrases(spark, *EXPECTED)))
+    assert {q: got.get(q, set()) for q in EXPECTED} == EXPECTED
+
+
 def test_null_and_repeated_phrases(spark, corpus):
     asked = spark.createDataFrame([("n", None), ("e", ""), ("b", "  "), ("q", "苹果"), ("q", "苹果")], "phrase_id string, phrase string")
     assert found(search.phrase_matches(corpus, asked)) == {"q": {"apple", "juice", "split"}}
