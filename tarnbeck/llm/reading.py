@@ -10,6 +10,7 @@ the scale.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from tarnbeck.functions.batches import slices
 from tarnbeck.llm.bpe import _Hash
-from tarnbeck.llm.unify_text import _points, unify_values
+from tarnbeck.llm.unify_text import INVISIBLE, _points, _tables
 
 #: Labelled documents that a model is fitted on; a larger set is sampled by the hash of its ids.
 MAX_LABELLED = 12_000
@@ -50,6 +51,19 @@ def _classes() -> np.ndarray:
     return _classes.table
 
 
+def _plain() -> tuple[np.ndarray, np.ndarray]:
+    """Compatibility form in lower case of each code point that has a single one, and the characters that show nothing."""
+    if not hasattr(_plain, "tables"):
+        form = np.arange(0x110000, dtype=np.uint32)
+        for lo, hi in ((0x41, 0x600), (0x1E00, 0x3400), (0xF900, 0x10000), (0x1D400, 0x1D800), (0x2F800, 0x2FA20)):
+            for cp in range(lo, hi):
+                c = unicodedata.normalize("NFKC", chr(cp)).lower()
+                if len(c) == 1:
+                    form[cp] = ord(c)
+        _plain.tables = form, _tables().flag == INVISIBLE
+    return _plain.tables
+
+
 def _mix(a: np.ndarray) -> np.ndarray:
     x = a.astype(np.uint64)
     x ^= x >> np.uint64(33)
@@ -80,8 +94,11 @@ class Parsed:
 def parse(texts: list[str]) -> Parsed:
     """Han bigrams and words as 63-bit keys, vectorised over all texts."""
     n = len(texts)
-    forms = unify_values(pa.array(texts, pa.string()))[0]
-    points, owner = _points(forms)
+    form, hidden = _plain()
+    points = _points(pa.array([t.replace("\uffff", "") for t in texts], pa.string()))[0]
+    points = form[points[~hidden[points]]]
+    points = np.where(points == 0x0D, 10, points)
+    owner = np.cumsum(points == 0xFFFF) - (points == 0xFFFF)
     end_doc = points == 0xFFFF
     kind = _classes()[np.where(end_doc, 0, points)]
     # A full stop ends a sentence before white space only.
