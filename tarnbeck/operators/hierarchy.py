@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tarnbeck.session import materialize, write_out
+from tarnbeck.session import materialize, remove, scratch_dir, write_out
 
 RAKED, SPLICED, KEPT = "raked", "spliced", "kept"
 #: Rounds take turns with these seeds; few, so that generated code is reused.
@@ -77,7 +77,7 @@ def _round(live: DataFrame, turn: int, paths: bool) -> DataFrame:
     return joined.select(*columns)
 
 
-def contract(links: DataFrame, paths: bool = False) -> tuple[list[DataFrame], DataFrame]:
+def contract(links: DataFrame, paths: bool = False, folder: str | None = None) -> tuple[list[DataFrame], DataFrame]:
     """The rounds' removals, and the core: roots, and one self-linked node for each cycle.
 
     links: node, parent, each node once. Parents that have no row of their own are roots.
@@ -88,11 +88,11 @@ def contract(links: DataFrame, paths: bool = False) -> tuple[list[DataFrame], Da
     live = live.unionByName(roots.selectExpr("node", "cast(null as string) parent", "0L steps", "cast(null as string) least", "cast(array() as array<string>) inner"))
     if not paths:
         live = live.drop("inner")
-    live = materialize(live, "forest")
+    live = materialize(live, "forest", folder)
     rounds: list[DataFrame] = []
     while True:
         seen = Observation()
-        step = materialize(_round(live, len(rounds) % SEEDS, paths).observe(seen, F.count_if(F.col("fate") != KEPT).alias("removed")), "round")
+        step = materialize(_round(live, len(rounds) % SEEDS, paths).observe(seen, F.count_if(F.col("fate") != KEPT).alias("removed")), "round", folder)
         live = step.where(F.col("fate") == KEPT).drop("only", "fate")
         if not seen.get["removed"]:
             # A round without any leaf ends it only if nothing is left that could ever move.
@@ -149,8 +149,11 @@ def hierarchy(df: DataFrame, child: str = "child_id", parent: str = "parent_id",
     with several parents follows the smallest (see :func:`extra_parents`). An empty
     table gives an empty result. ``paths=False`` leaves out the arrays.
     """
-    rounds, core = contract(clean_links(df, child, parent), paths)
-    return expand(rounds, core, paths)
+    spark, folder = df.sparkSession, scratch_dir(df.sparkSession, "contraction")
+    rounds, core = contract(clean_links(df, child, parent), paths, folder)
+    tree = expand(rounds, core, paths)
+    remove(spark, folder)  # the rounds; what was made of them stays
+    return tree
 
 
 def descendants(tree: DataFrame) -> DataFrame:

@@ -28,19 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIRS[app]
 
 
-def write_out(df: DataFrame, name: str) -> str:
-    """Write ``df`` to a folder of its own in the shared folder; returns the path."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_out(df: DataFrame, name: str, folder: str | None = None) -> str:
+    """Write ``df`` to a new folder in the shared folder, or in ``folder``; returns the path."""
+    path = f"{folder or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     The files outlive any executor, so a lost executor costs only its tasks.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(write_out(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_out(df, name, folder))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that no later read needs."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
