@@ -395,16 +395,20 @@ def train(texts: list[str], level: np.ndarray, source: list[str | None], folds:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, source, level): documents with the mean of their readers' levels; at most ``limit``, by hash of the id."""
+    """(doc_id, text, source, level): documents with the mean of their readers' levels; at most ``limit``, by hash of the id.
+
+    The sample is drawn from the labels alone and broadcast (``limit`` rows), so no text is
+    shuffled; labels of blank or unknown documents drop out after it.
+    """
     mean = labels.where("doc_id is not null and reading_level is not null").groupBy("doc_id", "reader").agg(F.avg("reading_level").alias("r")).groupBy("doc_id").agg(F.avg("r").alias("level"))
+    chosen = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     docs = documents.select("doc_id", "text", "source").where(F.trim(F.regexp_replace("text", r"(?U)\s+", "")) != "")
-    chosen = docs.join(mean, "doc_id").dropDuplicates(["doc_id"])
-    return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
 def fit_reading_model(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> ReadingModel | None:
     """The model, or None where fewer than 20 documents are labelled."""
-    rows = labelled(documents, labels, limit).toPandas()
+    rows = labelled(documents, labels, limit).toPandas().sort_values("doc_id", kind="stable")  # the same folds at every parallelism
     if len(rows) < 20:
         return None
     return train(rows["text"].tolist(), rows["level"].to_numpy(float), [s if isinstance(s, str) else None for s in rows["source"]])
