@@ -11,7 +11,7 @@ from tarnbeck.llm.mixing import mix_documents
 from tarnbeck.llm.pieces import oversized, pieces
 from tarnbeck.llm.reading import fit_reading_model, reading_levels
 from tarnbeck.llm.unify_text import unify
-from tarnbeck.session import table
+from tarnbeck.session import spread, table
 
 
 def _typed_foods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,24 +79,24 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a document in the mixture; read in order of (slot, start, doc_id)."""
-    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).rows
+    return mix_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets")).rows
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
-    return mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
+    return mix_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets")).shares
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level and score of every document."""
     documents = table(spark, sf_dir, "documents")
     model = fit_reading_model(documents, table(spark, sf_dir, "reading_labels"))
-    return reading_levels(documents.select("doc_id", "text"), model).drop("text")
+    return reading_levels(spread(documents.select("doc_id", "text")), model).drop("text")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
