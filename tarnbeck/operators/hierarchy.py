@@ -48,33 +48,44 @@ def _order(c: str, turn: int) -> Column:
 
 
 def _round(live: DataFrame, turn: int, paths: bool) -> DataFrame:
-    """One round: the removed rows as they were, with their fate, and the kept ones with their new links.
+    """One round: removed rows with their fate, and kept ones, all with their new links.
 
     live: node, parent (null for a root), steps (links that the link to the parent
     stands for), least (smallest node spliced into that link), inner (those nodes, from
-    the top). The rows are shuffled by node once; the counts of children and the
-    messages of spliced nodes to their child meet them there.
+    the top). Two message passings, each one aggregation by node: children report to
+    their parent, then spliced nodes hand their link to their only child. That child
+    never hangs from a node removed in the same round: also a raked leaf takes the link over.
     """
+    link = ["parent", "steps", "least", *(["inner"] if paths else [])]
     moving = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
-    below = live.where(moving).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("below"), F.min("node").alias("only"))
+    me = F.struct(*link)
+    told = live.select("node", me.alias("me"), F.lit(None).cast("string").alias("child")).unionByName(
+        live.where(moving).select(F.col("parent").alias("node"), F.lit(None).cast(live.select(me.alias("m")).schema["m"].dataType).alias("me"), F.col("node").alias("child"))
+    )
+    seen = told.groupBy("node").agg(F.first("me", ignorenulls=True).alias("me"), F.count("child").alias("below"), F.min("child").alias("only"))
+    seen = seen.select("node", "below", "only", *(F.col(f"me.{c}").alias(c) for c in link))
     unary = moving & (F.col("below") == 1) & (_order("node", turn) < _order("only", turn)) & (_order("node", turn) < _order("parent", turn))
-    seen = live.join(below, "node", "left").withColumn("fate", F.when(moving & F.col("below").isNull(), RAKED).when(unary, SPLICED).otherwise(KEPT)).drop("below")
-    gone = seen.where(F.col("fate") == SPLICED).select(
-        F.col("only").alias("node"), F.col("node").alias("via"), F.col("parent").alias("up"), F.col("steps").alias("up_steps"), F.col("least").alias("up_least"), *([F.col("inner").alias("up_inner")] if paths else [])
+    seen = seen.withColumn("fate", F.when(moving & (F.col("below") == 0), RAKED).when(unary, SPLICED).otherwise(KEPT))
+    own = F.struct("fate", "only", *link)
+    hand = F.struct(F.col("node").alias("via"), *link)
+    types = seen.select(own.alias("own"), hand.alias("hand")).schema
+    passed = seen.select("node", own.alias("own"), F.lit(None).cast(types["hand"].dataType).alias("hand")).unionByName(
+        seen.where(F.col("fate") == SPLICED).select(F.col("only").alias("node"), F.lit(None).cast(types["own"].dataType).alias("own"), hand.alias("hand"))
     )
-    joined = seen.join(gone, "node", "left")
-    cut = (F.col("fate") == KEPT) & F.col("via").isNotNull()
+    met = passed.groupBy("node").agg(F.first("own", ignorenulls=True).alias("own"), F.first("hand", ignorenulls=True).alias("hand"))
+    cut = F.col("hand").isNotNull()
+    mine = lambda c: F.col(f"own.{c}")
     columns = [
         "node",
-        "fate",
-        "only",
-        F.when(cut, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-        F.when(cut, F.col("steps") + F.col("up_steps")).otherwise(F.col("steps")).alias("steps"),
-        F.when(cut, F.least("least", "via", "up_least")).otherwise(F.col("least")).alias("least"),
+        mine("fate").alias("fate"),
+        mine("only").alias("only"),
+        F.when(cut, F.col("hand.parent")).otherwise(mine("parent")).alias("parent"),
+        F.when(cut, mine("steps") + F.col("hand.steps")).otherwise(mine("steps")).alias("steps"),
+        F.when(cut, F.least(mine("least"), "hand.via", "hand.least")).otherwise(mine("least")).alias("least"),
     ]
     if paths:
-        columns.append(F.when(cut, F.concat("up_inner", F.array("via"), "inner")).otherwise(F.col("inner")).alias("inner"))
-    return joined.select(*columns)
+        columns.append(F.when(cut, F.concat("hand.inner", F.array("hand.via"), mine("inner"))).otherwise(mine("inner")).alias("inner"))
+    return met.select(*columns)
 
 
 def contract(links: DataFrame, paths: bool = False, folder: str | None = None) -> tuple[list[DataFrame], DataFrame]:
@@ -116,12 +127,17 @@ def expand(rounds: list[DataFrame], core: DataFrame, paths: bool = False) -> Dat
     spark, schema, parts = done.sparkSession, done.schema, [write_out(done, "grown")]
     above = ["root", "depth", "cycle_id", *(["path"] if paths else [])]
 
-    def hang(removed: DataFrame, on: DataFrame) -> DataFrame:
-        top = on.select(F.col("node").alias("parent"), *(F.col(c).alias(f"up_{c}") for c in above))
-        return removed.join(top, "parent")
-
-    def below(df: DataFrame, on_cycle: Column) -> DataFrame:
-        return df.select(
+    rings = core.where(cyclic).limit(1).count() > 0
+    for removed in reversed(rounds):
+        done = spark.read.schema(schema).parquet(*parts)  # one scan, however many parts
+        top = done.select(F.col("node").alias("parent"), *(F.col(c).alias(f"up_{c}") for c in above))
+        hung = removed.join(top, "parent")
+        on_cycle = F.lit(False)
+        if rings:  # a spliced node is on a cycle exactly if its only child is
+            ring = done.where("on_cycle").select(F.col("node").alias("only"), F.lit(True).alias("ring"))
+            hung = hung.join(ring, "only", "left")
+            on_cycle = (F.col("fate") == SPLICED) & F.coalesce("ring", F.lit(False))
+        grown = hung.select(
             "node",
             F.col("up_root").alias("root"),
             (F.col("up_depth") + F.col("steps")).alias("depth"),
@@ -129,14 +145,7 @@ def expand(rounds: list[DataFrame], core: DataFrame, paths: bool = False) -> Dat
             on_cycle.alias("on_cycle"),
             *([F.concat("up_path", "inner", F.array("node")).alias("path")] if paths else []),
         )
-
-    for removed in reversed(rounds):
-        done = spark.read.schema(schema).parquet(*parts)  # one scan, however many parts
-        # Spliced nodes first: leaves raked in the same round may hang from them.
-        ring = done.where("on_cycle").select(F.col("node").alias("only"), F.lit(True).alias("ring"))
-        spliced = below(hang(removed.where(F.col("fate") == SPLICED), done).join(ring, "only", "left"), F.coalesce("ring", F.lit(False)))
-        raked = below(hang(removed.where(F.col("fate") == RAKED), done.unionByName(spliced)), F.lit(False))
-        parts.append(write_out(spliced.unionByName(raked), "grown"))
+        parts.append(write_out(grown, "grown"))
     return spark.read.schema(schema).parquet(*parts)
 
 
