@@ -8,10 +8,10 @@ ever counted on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tarnbeck.session import materialize
+from tarnbeck.session import materialize, write_out
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -20,15 +20,18 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFram
     Seeds have depth 0. Cycles end because a node is taken once. Null ends are no edges.
     """
     links = materialize(edges.select("src", "dst").where("src is not null and dst is not null and src != dst").distinct(), "edges")
-    front = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0)), "front")
-    seen = front
+    spark = edges.sparkSession
+    start = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0))
+    parts, schema = [write_out(start, "front")], start.schema
     for depth in range(1, max_depth + 1):
+        front, seen = spark.read.schema(schema).parquet(parts[-1]), spark.read.schema(schema).parquet(*parts)  # one scan, however many rounds
         step = front.join(links, front.node == links.src).select(F.col("dst").alias("node")).distinct()
-        front = materialize(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "front")
-        if front.limit(1).count() == 0:
+        grown = Observation()
+        fresh = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).observe(grown, F.count("*").alias("n"))
+        parts.append(write_out(fresh, "front"))
+        if not grown.get["n"]:
             break
-        seen = seen.unionByName(front)
-    return seen
+    return spark.read.schema(schema).parquet(*parts)
 
 
 def expand(edges: DataFrame, starts: DataFrame, max_depth: int = 8, max_nodes: int = 100) -> tuple[DataFrame, DataFrame]:
