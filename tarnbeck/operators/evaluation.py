@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tarnbeck.functions.scalars import ratio
 
 
+#: Strategies that are compared; every query is scored for each.
+MAX_STRATEGIES = 100
+
+
 def query_metrics(runs: DataFrame, hits: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     """One row for each (query_id, strategy) of the label set.
 
@@ -15,9 +19,12 @@ def query_metrics(runs: DataFrame, hits: DataFrame, labels: DataFrame, k: int) -
     beyond ``k`` are cut before scoring. labels: query_id, record_id, relevant (boolean). A failed or
     missing run has no hits but keeps its denominators; every ratio is null on a zero one.
     """
-    strategies = runs.select("strategy").distinct()
+    strategies = sorted(r[0] for r in runs.select("strategy").where("strategy is not null").distinct().limit(MAX_STRATEGIES + 1).collect())
+    if len(strategies) > MAX_STRATEGIES:
+        raise ValueError(f"more than {MAX_STRATEGIES} strategies")
     wanted = labels.groupBy("query_id").agg(F.count_if("relevant").alias("n_expected"))
-    base = wanted.join(strategies).join(runs.select("query_id", "strategy", "status", "latency_ms"), ["query_id", "strategy"], "left")
+    names = F.array(*map(F.lit, strategies)).cast("array<string>")
+    base = wanted.withColumn("strategy", F.explode(names)).join(runs.select("query_id", "strategy", "status", "latency_ms"), ["query_id", "strategy"], "left")
     top = hits.where(F.col("rank") <= k).join(runs.where("status != 'failed'").select("query_id", "strategy"), ["query_id", "strategy"], "left_semi")
     judged = top.join(labels, ["query_id", "record_id"], "left").groupBy("query_id", "strategy").agg(
         F.count("*").alias("n_returned"), F.count_if("relevant").alias("n_relevant"), F.count_if(~F.col("relevant")).alias("n_bad"), F.count_if(F.col("relevant").isNull()).alias("n_unjudged")
