@@ -1,23 +1,27 @@
 import os
+from types import SimpleNamespace
 
+from tarnbeck import session
 from tarnbeck.session import materialize, remove, scratch_dir, shared_dir, spread
 
 
-def test_tables_go_to_the_named_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert shared_dir(spark) == f"file://{tmp_path}"
-        df = materialize(spark.range(3).selectExpr("id", "cast(null as string) s"), "part")
-        assert [p.startswith("part-") for p in os.listdir(tmp_path)] == [True]
-        assert df.count() == 3 and df.columns == ["id", "s"]
-        folder = scratch_dir(spark, "work")
-        materialize(df, "inner", folder)
-        assert len(os.listdir(tmp_path)) == 2
-        remove(spark, folder)
-        assert len(os.listdir(tmp_path)) == 1
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert shared_dir(spark) == shared_dir(spark) != f"file://{tmp_path}"
+def test_the_named_folder_is_read_from_the_session(spark):
+    named = SimpleNamespace(conf={"spark.checkpoint.dir": "file:///shared/folder/"})
+    assert shared_dir(named) == "file:///shared/folder"
+    assert spark.conf.get("spark.checkpoint.dir", None) is None  # unset in tests: a folder of our own, the same each time
+    assert shared_dir(spark) == shared_dir(spark) and os.path.isdir(shared_dir(spark).removeprefix("file://"))
+
+
+def test_tables_go_to_the_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    df = materialize(spark.range(3).selectExpr("id", "cast(null as string) s"), "part")
+    assert [p.startswith("part-") for p in os.listdir(tmp_path)] == [True]
+    assert df.count() == 3 and df.columns == ["id", "s"]
+    folder = scratch_dir(spark, "work")
+    materialize(df, "inner", folder)
+    assert len(os.listdir(tmp_path)) == 2
+    remove(spark, folder)
+    assert len(os.listdir(tmp_path)) == 1
 
 
 def test_spread(spark, tmp_path):
