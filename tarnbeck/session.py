@@ -7,25 +7,38 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
+_SCRATCH: dict[str, str] = {}
+
+
+def _clear(path: str) -> None:
+    """At the end of the program: nothing reads the scratch folder any more."""
+    local = path.removeprefix("file://")
+    if "://" not in local:
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    try:
+        jvm = SparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+    except Exception:  # the JVM is gone; the folder is named after the application and can be removed by hand
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """This application's scratch folder within the one all executors share, ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is
-    made, once for each application.
+    Only where the session names none (tests, one machine) a temporary folder is made.
+    Either is removed when the program ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tarnbeck-")
-        atexit.register(shutil.rmtree, _LOCAL_DIRS[app], True)
-    return "file://" + _LOCAL_DIRS[app]
+    if app not in _SCRATCH:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        _SCRATCH[app] = f"{named.rstrip('/')}/tarnbeck-{app}" if named else "file://" + tempfile.mkdtemp(prefix="tarnbeck-")
+        atexit.register(_clear, _SCRATCH[app])
+    return _SCRATCH[app]
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:

@@ -5,11 +5,23 @@ from tarnbeck import session
 from tarnbeck.session import materialize, remove, scratch_dir, shared_dir, spread
 
 
-def test_the_named_folder_is_read_from_the_session(spark):
-    named = SimpleNamespace(conf={"spark.checkpoint.dir": "file:///shared/folder/"})
-    assert shared_dir(named) == "file:///shared/folder"
-    assert spark.conf.get("spark.checkpoint.dir", None) is None  # unset in tests: a folder of our own, the same each time
-    assert shared_dir(spark) == shared_dir(spark) and os.path.isdir(shared_dir(spark).removeprefix("file://"))
+class Named(SimpleNamespace):
+    def __init__(self, app, **conf):
+        super().__init__(conf=conf, sparkContext=SimpleNamespace(applicationId=app))
+
+
+def test_the_named_folder_is_read_from_the_session(tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_SCRATCH", {})
+    monkeypatch.setattr(session.atexit, "register", lambda *_: None)
+    named = Named("app-1", **{"spark.checkpoint.dir": f"file://{tmp_path}/"})
+    assert shared_dir(named) == shared_dir(named) == f"file://{tmp_path}/tarnbeck-app-1"
+    os.makedirs(tmp_path / "tarnbeck-app-1" / "x")
+    session._clear(shared_dir(named))
+    assert os.listdir(tmp_path) == []
+    own = shared_dir(Named("app-2"))
+    assert own.startswith("file:///") and os.path.isdir(own.removeprefix("file://"))
+    session._clear(own)
+    assert not os.path.exists(own.removeprefix("file://"))
 
 
 def test_tables_go_to_the_folder(spark, tmp_path, monkeypatch):
