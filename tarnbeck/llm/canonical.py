@@ -12,6 +12,7 @@ distinct values of each Arrow batch.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import permutations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnbeck.functions.batches import slices
 from tarnbeck.llm.food_words import AFTER, BEFORE, TRADITIONAL
 from tarnbeck.llm.unify_text import unify_values
 from tarnbeck.operators.multivalue import split_batch, unquote
@@ -52,6 +54,7 @@ class NameIndex:
     literal: set[str] = field(default_factory=set)
     deletions: dict[str, tuple[str, ...]] = field(default_factory=dict)
     pairs: set[str] = field(default_factory=set)
+    longest: int = 0
     automaton: ahocorasick.Automaton | None = None
 
     @classmethod
@@ -68,6 +71,7 @@ class NameIndex:
             for i in range(len(f)):
                 wide.setdefault(f[:i] + f[i + 1 :], set()).add(f)
             index.pairs.update(a + b for a, b in zip("^" + f, f + "$"))
+        index.longest = max(map(len, index.forms), default=0)
         index.deletions = {k: tuple(sorted(v)) for k, v in wide.items()}
         index.automaton = ahocorasick.Automaton()
         for f in index.forms:
@@ -82,12 +86,13 @@ class NameIndex:
         if not self.forms:
             return []
         found = sorted(((len(f), -(end - len(f) + 1), f) for end, f in self.automaton.iter(s)), reverse=True)
-        taken: list[tuple[int, str]] = []
+        taken: list[tuple[int, str]] = []  # by start; they do not overlap, so only the neighbours need a look
         for n, neg, f in found:
-            start = -neg
-            if all(start + n <= a or start >= a + len(b) for a, b in taken):
-                taken.append((start, f))
-        return sorted(taken)
+            at = bisect(taken, -neg, key=lambda t: t[0])
+            before, after = taken[at - 1] if at else None, taken[at] if at < len(taken) else None
+            if (before is None or before[0] + len(before[1]) <= -neg) and (after is None or after[0] >= -neg + n):
+                taken.insert(at, (-neg, f))
+        return taken
 
     def near(self, s: str) -> list[tuple[float, str]]:
         """(cost, form) of the forms one slip away from ``s``: a letter left out, put in, doubled, mistaken, or two swapped."""
@@ -97,7 +102,7 @@ class NameIndex:
             if form not in out or cost < out[form]:
                 out[form] = cost
 
-        if len(s) < 2:
+        if not 2 <= len(s) <= self.longest + 1:  # longer ones are more than one slip away from every name
             return []
         for f in self.deletions.get(s, ()):  # a letter left out
             if len(f) >= 3:
@@ -213,7 +218,7 @@ def map_to_canonical(df: DataFrame, column: str, canonical: DataFrame, out: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = NameIndex.build(shared.value)
         known: dict[str, tuple[str | None, str]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             coded = batch.column(batch.num_columns - 1).dictionary_encode()
             values = coded.dictionary.to_pylist()
             if len(known) > 200_000:  # a cache of finished values, kept small

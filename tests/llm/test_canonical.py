@@ -28,6 +28,11 @@ def test_longest_mention_wins(index):
     assert [f for _, f in index.mentions("低糖苹果罐头苹果汁")] == ["低糖苹果罐头", "苹果汁"]
 
 
+def test_long_values_take_no_square_of_time(index):
+    assert len(index.mentions("苹果汁" * 20_000)) == 20_000
+    assert index.resolve("苹果汁" * 20_000) == "C2" and index.resolve("别" * 200_000) == ""
+
+
 def test_frame(spark):
     canonical = spark.createDataFrame(LIST, "entry_id string, name string, aliases array<string>")
     rows = [(1, "苹果汁"), (2, " 苹果汁"), (3, None), (4, "​ "), (5, "苹果汁、烤鳗鱼松"), (6, "苹果汁\t烤鳗鱼松"), (7, "别的"), (7, "别的"), (8, "苹" * 100_000)]
