@@ -12,7 +12,7 @@ distinct values of each Arrow batch.
 from __future__ import annotations
 
 import re
-from bisect import bisect
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import permutations
@@ -48,11 +48,11 @@ def solid(s: str) -> str:
 
 @dataclass
 class NameIndex:
-    """The canonical list: exact forms, the automaton, and the forms one deletion away."""
+    """The canonical list: exact forms, the automaton, and the forms that hold each token (character)."""
 
     forms: dict[str, str] = field(default_factory=dict)
     literal: set[str] = field(default_factory=set)
-    deletions: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    inverted: dict[str, list[str]] = field(default_factory=dict)
     pairs: set[str] = field(default_factory=set)
     longest: int = 0
     automaton: ahocorasick.Automaton | None = None
@@ -66,13 +66,11 @@ class NameIndex:
         index = cls(literal={n for k, _, n in tagged if k == 0})
         for (_, e, _n), form in sorted(zip(tagged, simplified([n for _, _, n in tagged])), key=lambda x: x[0][:2]):
             index.forms.setdefault(solid(form), e)
-        wide: dict[str, set[str]] = {}
         for f in index.forms:
-            for i in range(len(f)):
-                wide.setdefault(f[:i] + f[i + 1 :], set()).add(f)
+            for token in set(f):
+                index.inverted.setdefault(token, []).append(f)
             index.pairs.update(a + b for a, b in zip("^" + f, f + "$"))
         index.longest = max(map(len, index.forms), default=0)
-        index.deletions = {k: tuple(sorted(v)) for k, v in wide.items()}
         index.automaton = ahocorasick.Automaton()
         for f in index.forms:
             index.automaton.add_word(f, f)
@@ -80,7 +78,7 @@ class NameIndex:
             index.automaton.make_automaton()
         return index
 
-    # -- stages -------------------------------------------------------------------------
+    # -- mentions -----------------------------------------------------------------------
     def mentions(self, s: str) -> list[tuple[int, str]]:
         """(start, form) of the longest mentions that do not overlap, longest first taken."""
         if not self.forms:
@@ -94,92 +92,125 @@ class NameIndex:
                 taken.insert(at, (-neg, f))
         return taken
 
-    def near(self, s: str) -> list[tuple[float, str]]:
-        """(cost, form) of the forms one slip away from ``s``: a letter left out, put in, doubled, mistaken, or two swapped."""
-        out: dict[str, float] = {}
-
-        def offer(form: str, cost: float) -> None:
-            if form not in out or cost < out[form]:
-                out[form] = cost
+    def mentioned(self, s: str, levels: list[tuple[int, int]]) -> str | None:
+        """The one entry whose mentions in the whole of ``s`` leave nothing but gaps and packing words around them."""
+        at = [i for i, c in enumerate(s) if not _GAPS.fullmatch(c)]  # where each letter of the solid form stands
+        found = self.mentions("".join(s[i] for i in at))
+        for lo, hi in levels:
+            a, b = bisect_left(at, lo), bisect_left(at, hi)
+            inside = [(i, f) for i, f in found if i < b and i + len(f) > a]
+            # The mentions do not overlap: they fill the level exactly if none reaches beyond it and their lengths add up.
+            if inside and inside[0][0] >= a and sum(len(f) for _, f in inside) == b - a and len({self.forms[f] for _, f in inside}) == 1:
+                return self.forms[inside[0][1]]
+        return None
 
-        if not 2 <= len(s) <= self.longest + 1:  # longer ones are more than one slip away from every name
-            return []
-        for f in self.deletions.get(s, ()):  # a letter left out
-            if len(f) >= 3:
-                offer(f, 1.0)
-        for i in range(len(s)):
-            cut = s[:i] + s[i + 1 :]
-            if cut in self.forms and len(cut) >= 2:
-                doubled = i and s[i] == s[i - 1] or i + 1 < len(s) and s[i] == s[i + 1]
-                if doubled:
-                    offer(cut, 0.8)
-                elif 0 < i < len(s) - 1:  # a letter put in; at an end it would be another word
-                    offer(cut, 1.2)
-            for f in self.deletions.get(cut, ()):
-                if len(f) == len(s) and f != s:
-                    at = [k for k in range(len(s)) if f[k] != s[k]]
-                    if len(at) == 2 and at[1] == at[0] + 1 and f[at[0]] == s[at[1]] and f[at[1]] == s[at[0]]:
-                        offer(f, 0.9)
-                    elif len(at) == 1 and len(s) >= 3:
-                        k = at[0]
-                        ringed = "^" + s + "$"
-                        known = ringed[k : k + 2] in self.pairs and ringed[k + 1 : k + 3] in self.pairs
-                        # A letter that makes sense between its neighbours is another food, not a slip.
-                        if not known:
-                            offer(f, 1.1)
-        return sorted((c, f) for f, c in out.items())
-
-    def orders(self, s: str) -> list[str]:
-        """``s`` without gaps, and its parts in other orders."""
+    # -- token sets ---------------------------------------------------------------------
+    def candidates(self, s: str) -> list[str]:
+        """The forms that may be ``s``, its parts in any order, with at most one slip.
+
+        A slip adds at most one token to a value, so of any two of its tokens a form holds
+        one: the two that the fewest forms hold are looked up, the rest is checked.
+        """
+        have = set(s)
+        rare = sorted(have, key=lambda t: (len(self.inverted.get(t, ())), t))[:2]
+        held = dict.fromkeys(f for t in rare for f in self.inverted.get(t, ()))
+        return [f for f in held if abs(len(f) - len(s)) <= 1 and len(have.difference(f)) <= 1 and len(set(f) - have) <= 1]
+
+    def slip(self, s: str, f: str) -> float | None:
+        """Cost of ``s`` for ``f``: 0 if equal, else of a letter left out, put in, doubled, mistaken, or two swapped; None if more."""
+        if s == f:
+            return 0.0
+        costs = []
+        if len(f) == len(s) + 1 and len(f) >= 3:
+            if any(f[:i] + f[i + 1 :] == s for i in range(len(f))):
+                costs.append(1.0)
+        elif len(f) == len(s) - 1 and len(f) >= 2:
+            for i in range(len(s)):
+                if s[:i] + s[i + 1 :] == f:
+                    if i and s[i] == s[i - 1] or i + 1 < len(s) and s[i] == s[i + 1]:
+                        costs.append(0.8)
+                    elif 0 < i < len(s) - 1:  # a letter put in; at an end it would be another word
+                        costs.append(1.2)
+        elif len(f) == len(s):
+            at = [k for k in range(len(s)) if f[k] != s[k]]
+            if len(at) == 2 and at[1] == at[0] + 1 and f[at[0]] == s[at[1]] and f[at[1]] == s[at[0]]:
+                costs.append(0.9)
+            elif len(at) == 1 and len(s) >= 3:
+                k = at[0]
+                ringed = "^" + s + "$"
+                # A letter that makes sense between its neighbours is another food, not a slip.
+                if not (ringed[k : k + 2] in self.pairs and ringed[k + 1 : k + 3] in self.pairs):
+                    costs.append(1.1)
+        return min(costs, default=None)
+
+    def joined(self, s: str) -> list[tuple[float, int, str, str]]:
+        """(slip, rank, order, form) of the token-set join: the forms that the parts of ``s`` make in some order."""
         parts = [p for p in _GAPS.split(s) if p]
         whole = "".join(parts)
-        if 2 <= len(parts) <= 3:
-            return list(dict.fromkeys([whole, *("".join(p) for p in permutations(parts))]))
-        return [whole]
-
-    def lookup(self, s: str) -> str | None:
-        for o in self.orders(s):
-            if o in self.forms:
-                return self.forms[o]
-        return None
+        if not 1 <= len(whole) <= self.longest + 1:  # longer ones are more than one slip away from every name
+            return []
+        few = list(dict.fromkeys([whole, *("".join(p) for p in permutations(parts))])) if len(parts) <= 3 else None
+        out = []
+        for f in self.candidates(whole):
+            for rank, o in enumerate(few) if few else ((int(o != whole), o) for o in arrangements(parts, f)):
+                cost = self.slip(o, f)
+                if cost is not None:
+                    out.append((cost, rank, o, f))
+        return out
 
-    def peeled(self, s: str) -> list[str]:
-        """``s``, and what is left as packing and labelling words are taken off its ends."""
-        seen, queue = [s], [s]
-        while queue:
-            cur = queue.pop(0)
+    # -- stages -------------------------------------------------------------------------
+    def peeled(self, s: str) -> list[tuple[int, int]]:
+        """Spans of ``s``: all of it, and what is left as packing and labelling words are taken off its ends."""
+        seen = [(0, len(s))]
+        for lo, hi in seen:  # grows as it is read
+            cur = s[lo:hi]
             for pattern in (_BEFORE, _AFTER):
                 m = pattern.search(cur)
                 if m and m.group() and m.group() != cur:
-                    rest = (cur[m.end() :] if pattern is _BEFORE else cur[: m.start()]).strip()
-                    if rest and rest not in seen:
-                        seen.append(rest)
-                        queue.append(rest)
+                    a, b = (m.end(), len(cur)) if pattern is _BEFORE else (0, m.start())
+                    rest = cur[a:b]
+                    a, b = a + len(rest) - len(rest.lstrip()), b - len(rest) + len(rest.rstrip())
+                    if a < b and (lo + a, lo + b) not in seen:
+                        seen.append((lo + a, lo + b))
         return seen
 
     def resolve(self, s: str) -> str:
         """The entry that the unified value ``s`` means, or ''."""
         levels = self.peeled(s)
-        for cur in levels:
-            hit = self.lookup(cur)
-            if hit is not None:
-                return hit
-        # Mentions: all that surrounds them must come off as packing words.
-        flat = solid(levels[-1])
-        found = self.mentions(flat)
-        entries = {self.forms[f] for _, f in found}
-        if len(entries) == 1 and sum(len(f) for _, f in found) == len(flat):
-            return entries.pop()
-        # Token sets, one slip allowed; the fullest value first, so that no letter is lost to a packing word.
-        best: list[tuple[float, int, str]] = []
-        for depth, cur in enumerate(levels):
-            for rank, o in enumerate(self.orders(cur)):
-                for cost, f in self.near(o):
-                    a, b = set(o), set(f)
-                    best.append((cost + 0.05 * rank + 1 - len(a & b) / len(a | b), -depth, self.forms[f]))
+        hit = self.mentioned(s, levels)
+        if hit is not None:
+            return hit
+        found = [(depth, self.joined(s[lo:hi])) for depth, (lo, hi) in enumerate(levels)]
+        for _, rows in found:  # without a slip, the fullest value first, so that no letter is lost to a packing word
+            exact = [(rank, f) for cost, rank, _, f in rows if not cost]
+            if exact:
+                return self.forms[min(exact)[1]]
+        best = [(cost + 0.05 * rank + 1 - len(set(o) & set(f)) / len(set(o) | set(f)), -depth, self.forms[f]) for depth, rows in found for cost, rank, o, f in rows if len(o) >= 2]
         return min(best)[2] if best else ""
 
 
+def arrangements(parts: list[str], form: str) -> Iterator[str]:
+    """The orders of ``parts``, joined, that agree with ``form`` up to one slip; others are left as soon as they disagree."""
+
+    def fits(s: str) -> bool:
+        n = next((i for i, (a, b) in enumerate(zip(s, form)) if a != b), min(len(s), len(form)))
+        if n == len(s):
+            return True
+        swapped = s[n : n + 2] == form[n : n + 2][::-1] and form.startswith(s[n + 2 :], n + 2)
+        return swapped or form.startswith(s[n + 1 :], n) or form.startswith(s[n + 1 :], n + 1) or form.startswith(s[n:], n + 1)
+
+    def grow(done: str, rest: list[str]) -> Iterator[str]:
+        if not rest:
+            yield done
+        for p in dict.fromkeys(rest):
+            if fits(done + p):
+                left = rest.copy()
+                left.remove(p)
+                yield from grow(done + p, left)
+
+    return iter(dict.fromkeys(grow("", parts)))
+
+
 def _single(values: list[str]) -> list[bool]:
     """Whether each value holds at most one food; tabs and line ends separate like marks do."""
     marked = simplified([_BREAKS.sub("、", v.strip()) for v in values])
