@@ -94,11 +94,12 @@ def tokens(c: Column | str, query: bool = False, normalised: bool = False) -> Co
     """Index terms: single Chinese characters (c:) and pairs (g:), words (w:), their letters (a:) and pairs (b:).
 
     The query side keeps singles only of one-character parts and drops whole words,
-    which a substring of a word could not demand. Sorted, each once.
+    which a substring of a word could not demand. Words over 1000 bytes have no w: term;
+    their letters and pairs are kept, as they are what finds a phrase. Sorted, each once.
     """
     s = _c(c) if normalised else search_form(c)
     han = F.regexp_extract_all(s, F.lit(f"[{HAN}]+"), F.lit(0))
-    word = F.filter(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), lambda w: F.octet_length(w) <= 1000)
+    word = F.regexp_extract_all(s, F.lit(WORD), F.lit(0))
     pairs = lambda parts, tag: F.flatten(
         F.transform(parts, lambda p: F.when(F.length(p) >= 2, F.transform(F.sequence(F.lit(1), F.length(p) - 1), lambda i: F.concat(F.lit(tag), p.substr(i, F.lit(2))))).otherwise(F.array().cast("array<string>")))
     )
@@ -106,7 +107,7 @@ def tokens(c: Column | str, query: bool = False, normalised: bool = False) -> Co
     singles = lambda parts, tag: F.transform(F.filter(F.flatten(F.transform(kept(parts), lambda p: F.split(p, ""))), lambda x: x != ""), lambda x: F.concat(F.lit(tag), x))
     out = [singles(han, "c:"), pairs(han, "g:"), singles(word, "a:"), pairs(word, "b:")]
     if not query:
-        out.append(F.transform(word, lambda w: F.concat(F.lit("w:"), w)))
+        out.append(F.transform(F.filter(word, lambda w: F.octet_length(w) <= 1000), lambda w: F.concat(F.lit("w:"), w)))
     return F.array_sort(F.array_distinct(F.concat(*out)))
 
 

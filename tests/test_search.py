@@ -129,3 +129,11 @@ def test_metrics(spark):
     assert (s["n_expected"], s["n_relevant"], s["n_failed"], s["mean_latency_ms"], s["max_latency_ms"]) == (3, 1, 1, 15.0, 20.0)
     bad = labels.unionByName(spark.createDataFrame([("q", "a", False)], labels.schema))
     assert {tuple(r) for r in evaluation.label_errors(bad, hits.unionByName(hits.where("rank = 1").withColumn("rank", F.lit(9)))).collect()} == {("LABEL_OVERLAP", "q", "a"), ("DUPLICATE_HIT", "q", "a"), ("DUPLICATE_HIT", "p", "z")}
+
+
+@pytest.mark.parametrize("mode", search.MODES)
+def test_phrase_in_a_long_word(spark, mode):
+    texts = spark.createDataFrame([("long", "body", 0, "编号" + "x" * 1200 + "QZ7" + "y" * 300 + "结束"), ("short", "body", 0, "QZ7")], TEXTS)
+    assert found(search.phrase_matches(texts, phrases(spark, "QZ7", "xQ", "号x"), mode)) == {"QZ7": {"long", "short"}, "xQ": {"long"}, "号x": {"long"}}
+    terms = {r["token"] for r in search.postings(texts.where("record_id = 'long'")).collect()}
+    assert "b:QZ" in terms and "a:7" in terms and not any(t.startswith("w:") for t in terms)
