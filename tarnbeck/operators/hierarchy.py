@@ -166,11 +166,46 @@ def hierarchy(df: DataFrame, child: str = "child_id", parent: str = "parent_id",
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, node, distance): every node below every ancestor, in long form."""
+    """(ancestor, node, distance): every node below every ancestor, in long form, of the nodes with a path.
+
+    Nodes on a cycle or below one have none; :func:`all_descendants` takes them too.
+    """
     at = tree.where("path is not null").select("node", "depth", F.posexplode("path").alias("pos", "ancestor"))
     return at.where("ancestor != node").select("ancestor", "node", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
+def all_descendants(df: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
+    """(ancestor, node, distance): every node below every ancestor, on and below cycles too, in long form.
+
+    The walk up from a node names each member of a cycle once, with the steps to it, and
+    never the node itself. Above the cycle's entry, the member ``pos`` steps down from the smallest
+    is ``(pos of the entry - pos) mod length`` steps away, so cycles are met by number, not walked.
+    """
+    links = materialize(clean_links(df, child, parent), "links")
+    tree = hierarchy(links, "node", "parent")
+    on_cycle = tree.where("on_cycle").select("node", "cycle_id")
+    # The rings, opened above their smallest member, and what hangs from each member: forests both.
+    ring = hierarchy(links.join(on_cycle, "node").where("node != cycle_id"), "node", "parent", paths=False)
+    ring = materialize(on_cycle.join(ring.select("node", "depth"), "node", "left").select("cycle_id", F.col("node").alias("ancestor"), F.coalesce("depth", F.lit(0)).alias("pos")), "ring")
+    hung = hierarchy(links.join(tree.where("cycle_id is not null and not on_cycle").select("node"), "node", "left_semi"), "node", "parent")
+    below = hung.where("depth > 0").select("node", F.col("root").alias("entry"), F.col("depth").alias("steps"))
+    below = below.unionByName(ring.select(F.col("ancestor").alias("node"), F.col("ancestor").alias("entry"), F.lit(0).cast("long").alias("steps")))
+    size = ring.groupBy("cycle_id").agg(F.count("*").alias("length"))
+    entries = ring.join(size, "cycle_id").select("cycle_id", F.col("ancestor").alias("entry"), F.col("pos").alias("entry_pos"), "length")
+    met = below.join(entries, "entry").join(ring, "cycle_id").where("ancestor != entry")  # the entry's own pairs are in ``hung``
+    around = met.select("ancestor", "node", (F.col("steps") + F.pmod(F.col("entry_pos") - F.col("pos"), "length")).alias("distance"))
+    return descendants(tree).unionByName(descendants(hung)).unionByName(around)
+
+
+def all_nodes(df: DataFrame, child: str = "child_id", parent: str = "parent_id", paths: bool = True) -> DataFrame:
+    """:func:`hierarchy`, and each child without any link: one whose only rows have a null or empty parent is a root of depth 0."""
+    tree = hierarchy(df, child, parent, paths)
+    named = df.select(F.col(child).cast("string").alias("node")).where("node != ''").distinct()
+    lone = named.join(tree.select("node"), "node", "left_anti")
+    row = {"root": F.col("node"), "depth": F.lit(0).cast("long"), "cycle_id": F.lit(None).cast("string"), "on_cycle": F.lit(False), "path": F.array("node")}
+    return tree.unionByName(lone.select(*(F.col("node") if c == "node" else row[c].alias(c) for c in tree.columns)))
+
+
 def cycles(df: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
     """(node_id, cycle_id): nodes on a cycle, and nodes whose chain of parents runs into one."""
     tree = hierarchy(df, child, parent, paths=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbeck.operators.hierarchy import cycles, descendants, hierarchy
+from tarnbeck.operators.hierarchy import all_descendants, all_nodes, cycles, descendants, hierarchy
 from tarnbeck.operators.multivalue import split_values
 from tarnbeck.operators.orphans import Parent, Reference, broken_counts, broken_references
 from tarnbeck.session import table
@@ -16,16 +16,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Root, depth and path of every node."""
+    """Root, depth and path of every node of a link; ``p1_all_nodes`` has the roots without links too."""
     tree = hierarchy(table(spark, sf_dir, "taxonomy_relation"))
     return tree.select("node", "root", "depth", "cycle_id", F.array_join("path", ">").alias("path"))
 
 
 def p1_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All (ancestor, node) pairs with their distance."""
+    """The (ancestor, node) pairs of the trees with their distance, as far as its SQL walks; ``p1_all_descendants`` has those on and below cycles too."""
     return descendants(hierarchy(table(spark, sf_dir, "taxonomy_relation")))
 
 
+def p1_all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root, depth and path of every node, with or without a link."""
+    tree = all_nodes(table(spark, sf_dir, "taxonomy_relation"))
+    return tree.select("node", "root", "depth", "cycle_id", F.array_join("path", ">").alias("path"))
+
+
+def p1_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All (ancestor, node) pairs with their distance, on and below cycles too."""
+    return all_descendants(table(spark, sf_dir, "taxonomy_relation"))
+
+
 def _parents(spark: SparkSession, sf_dir: str) -> list[Parent]:
     return [
         Parent("queries", table(spark, sf_dir, "queries"), "id"),
@@ -61,7 +72,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("src", "record_id", "pos", "item").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_descendants, p3_found, p3_counts, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_descendants, p1_all_nodes, p1_all_descendants, p3_found, p3_counts, p6_found)}
 
 _BROKEN = """
 with refs as (

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tarnbeck.operators.hierarchy import cycles, descendants, extra_parents, hierarchy
+from tarnbeck.operators.hierarchy import all_descendants, all_nodes, cycles, descendants, extra_parents, hierarchy
 
 LINKS = "child_id string, parent_id string"
 
@@ -73,3 +73,34 @@ def test_empty_and_extra(spark):
     df = spark.createDataFrame([("b", "a", 1), ("b", "c", 2)], LINKS + ", node int")
     assert got(hierarchy(df)) == walk([("b", "a")])
     assert [tuple(r) for r in extra_parents(df).collect()] == [("b", "c", "a")]
+
+
+def climb(pairs):
+    """(ancestor, node, distance) of every node, by walking up until a node comes again."""
+    up = {}
+    for c, p in pairs:
+        if c and p:
+            up[c] = min(p, up.get(c, p))
+    out = set()
+    for n in up:
+        seen, x, d = {n}, up[n], 1
+        while x is not None and x not in seen:
+            out.add((x, n, d))
+            seen.add(x)
+            x, d = up.get(x), d + 1
+    return out
+
+
+def test_descendants_on_and_below_cycles(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "b"), ("y", "x"), ("z", "y"), ("s", "s"), ("t", "s"), ("u", "t"), ("r1", "r"), ("r2", "r1")]
+    rng = random.Random(9)
+    pairs += [(f"n{i}", f"n{rng.randrange(120)}") for i in range(120)]
+    for links in (pairs, [("b", "a"), ("c", "b")], [("a", "a")], []):
+        got_pairs = [tuple(r) for r in all_descendants(frame(spark, links)).select("ancestor", "node", "distance").collect()]
+        assert len(got_pairs) == len(set(got_pairs)) and set(got_pairs) == climb(links)
+
+
+def test_roots_without_links(spark):
+    pairs = [("b", "a"), ("c", None), ("d", ""), ("b", None), ("", "a"), (None, None), ("a", "")]
+    want = walk(pairs) | {n: (n, 0, None, False, [n]) for n in ("c", "d")}
+    assert got(all_nodes(frame(spark, pairs))) == want
