@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.functions.states import APPLICABLE, CONFLICTING, NOT_APPLICABLE, UNKNOWN, all_of, invert
@@ -22,12 +22,21 @@ def ordered_rows(df: DataFrame, by: list[str], order: list[str], out: str = "pos
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def ordered_list(df: DataFrame, by: list[str], order: list[str], value: str, out: str, limit: int = 100_000) -> DataFrame:
-    """(by, out, n): values of each group in order. Groups beyond ``limit`` rows have a null list (and their count): a list is one value of one row. :func:`ordered_rows` has them all, in long form."""
-    size = df.groupBy(*by).agg(F.count("*").alias("n"))
-    small = df.join(size.where(f"n <= {limit}").select(*by), by, "left_semi")
-    lists = small.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))).alias("__l"))
-    return size.join(lists, by, "left").select(*by, F.transform("__l", lambda x: x["__v"]).alias(out), "n")
+def ordered_list(df: DataFrame, by: list[str], order: list[str], value: str, out: str, limit: int | None = None, bucket: Column | None = None) -> DataFrame:
+    """(by, out, n): values of each group in order, of groups of any size; :func:`ordered_rows` has them in long form.
+
+    ``bucket`` is any expression that never falls along the order: then a group's rows are sorted
+    bucket by bucket in different tasks, and only the values meet in the one row that holds them.
+    With ``limit``, groups beyond that many rows have a null list (and their count).
+    """
+    size, kept = df.groupBy(*by).agg(F.count("*").alias("n")), df
+    if limit is not None:
+        kept = df.join(size.where(f"n <= {limit}").select(*by), by, "left_semi")
+    parts = kept.withColumn("__b", F.lit(0) if bucket is None else bucket).groupBy(*by, "__b").agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v")))).alias("__l"), F.count("*").alias("n"))
+    parts = parts.select(*by, F.struct("__b", F.transform("__l", lambda x: x["__v"]).alias("__l")).alias("__p"), "n")
+    lists = parts.groupBy(*by).agg(F.array_sort(F.collect_list("__p")).alias("__p"), F.sum("n").alias("n"))
+    lists = lists.select(*by, F.flatten(F.transform("__p", lambda x: x["__l"])).alias(out), "n")
+    return lists if limit is None else size.join(lists.drop("n"), by, "left").select(*by, out, "n")
 
 
 def unsuperseded(df: DataFrame, key: str, previous: str) -> DataFrame:

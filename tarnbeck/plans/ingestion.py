@@ -21,7 +21,7 @@ def gap_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequence of each question's review actions."""
     r = table(spark, sf_dir, "reviews").where("query_id != '' and id is not null").select("id", "query_id", "created_at", "action").distinct()
-    out = attach.ordered_list(r, ["query_id"], ["created_at", "id"], "action", "actions")
+    out = attach.ordered_list(r, ["query_id"], ["created_at", "id"], "action", "actions", bucket=F.date_trunc("month", "created_at"))
     return out.select("query_id", F.array_join("actions", ">").alias("actions"), "n")
 
 

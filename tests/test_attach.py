@@ -22,6 +22,15 @@ def test_affected_and_lists(spark):
     assert rows(attach.unsuperseded(r, "id", "prev"), "id") == {("b",), ("c",)}
 
 
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_lists_of_any_size(spark, bucketed):
+    bucket = F.floor(F.col("o") / 9000) if bucketed else None
+    d = spark.range(120_000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("warm").alias("k"), (F.col("id") * 7919 % 120_000).alias("o")).withColumn("v", F.col("o").cast("string"))
+    out = {r["k"]: (r["l"], r["n"]) for r in attach.ordered_list(d.unionByName(d.selectExpr("k || 2 as k", "o", "v").where("o < 5")).unionByName(spark.range(120_000, 160_000).selectExpr("'hot' k", "id o", "string(id) v")), ["k"], ["o"], "v", "l", bucket=bucket).collect()}
+    assert out["hot"][1] == 120_000 == len(out["hot"][0]) and out["warm"][1] == 40_000
+    assert all(x == sorted(x, key=int) and len(x) == n for x, n in out.values()) and sum(n for _, n in out.values()) == 160_005
+
+
 def test_exclusions(spark):
     ex = spark.createDataFrame([("o", "hit", "unknown", ["x"], False), ("o", "miss", "unknown", ["y"], True), ("o", "keep", "applicable", ["y"], False), ("p", "none", "unknown", ["x"], True), ("o", "clash", "conflicting", ["x"], False)], "owner string, exclusion_id string, state string, names array<string>, explicit boolean")
     names = spark.createDataFrame([("o", "x", True), ("p", "x", False)], "owner string, name string, verified boolean")
