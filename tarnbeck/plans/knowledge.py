@@ -115,10 +115,19 @@ def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expansion of every hundredth root, three levels deep; the rest is named with its reason."""
+    """Expansion of the categories with ord % 100 = 0, as its SQL has it; ``category_expansion`` has all of them."""
+    return _expansion(spark, sf_dir, _nodes(spark, sf_dir).where("kind = 'category' and ord % 100 = 0").select("id"))
+
+
+def category_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expansion of every category."""
+    return _expansion(spark, sf_dir, _nodes(spark, sf_dir).where("kind = 'category'").select("id"))
+
+
+def _expansion(spark: SparkSession, sf_dir: str, starts: DataFrame) -> DataFrame:
+    """Expansion of each start, three levels deep; the rest is counted by its reason."""
     r = table(spark, sf_dir, "taxonomy_relation").where("parent_id != '' and child_id != ''")
     edges = r.groupBy(F.col("parent_id").alias("src"), F.col("child_id").alias("dst")).agg(F.min("id").alias("edge_id"), any_of(F.when(F.col("has_evidence"), "applicable").otherwise("unknown")).alias("verdict"))
-    starts = _nodes(spark, sf_dir).where("kind = 'category' and ord % 100 = 0").select("id")
     reached, left = graph.expand(edges, starts, max_depth=3, max_nodes=1_000_000)
     a = reached.groupBy("start").agg(F.count("*").alias("n_reached"), F.max("depth").cast("long").alias("depth"))
     b = left.groupBy("start").agg(F.count_if(F.col("reason") == "DEPTH_BUDGET").alias("n_too_deep"), F.count_if(F.col("reason") == "UNKNOWN").alias("n_unknown"))
@@ -376,7 +385,7 @@ def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fact_fold, condition_states, condition_compiled, inherited_states, inherited_requirements, nearest_approved, shared_targets, prefix_descendants, impact_closure, bounded_expansion, broken_edges,
+        fact_fold, condition_states, condition_compiled, inherited_states, inherited_requirements, nearest_approved, shared_targets, prefix_descendants, impact_closure, bounded_expansion, category_expansion, broken_edges,
         version_intervals, version_order, bound_references, folded_dates, incoming_outcomes, absent_assets, first_wins, latest_reviews, review_transitions, monthly_outcomes, tiered_binding,
         asset_manifests, file_checks, manifest_status, snapshot_changes, block_coverage, violations, line_ranges, page_islands, titles_filled_down, text_sections, table_cells, requirement_rows,
         limit_conflicts, greedy_context, standards_usage, clause_citations, designations, text_quality, pointer_parts, distinct_content, evidence_trace, evidence_quality,

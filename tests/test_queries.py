@@ -45,3 +45,9 @@ def test_nothing_imports_the_language_package():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "tarnbeck.llm" not in p.read_text(), p
+
+
+def test_every_category_is_expanded(spark):
+    starts = [r["start"] for r in knowledge.category_expansion(spark, str(SF)).collect()]
+    nodes = spark.read.parquet(str(SF / "taxonomy_node.parquet"))
+    assert len(starts) == len(set(starts)) and set(starts) == {r["id"] for r in nodes.where("kind = 'category' and id is not null").collect()}
