@@ -8,22 +8,25 @@ ever counted on the driver.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tarnbeck.session import materialize, write_out
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): all nodes reachable from any seed over (src, dst), with the fewest steps.
 
-    Seeds have depth 0. Cycles end because a node is taken once. Null ends are no edges.
+    Seeds have depth 0. Cycles end because a node is taken once, so it ends by itself. Null
+    ends are no edges. Where nodes are left beyond ``max_depth`` steps, it is an error, no shorter result.
     """
     links = materialize(edges.select("src", "dst").where("src is not null and dst is not null and src != dst").distinct(), "edges")
     spark = edges.sparkSession
     start = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0))
     parts, schema = [write_out(start, "front")], start.schema
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         front, seen = spark.read.schema(schema).parquet(parts[-1]), spark.read.schema(schema).parquet(*parts)  # one scan, however many rounds
         step = front.join(links, front.node == links.src).select(F.col("dst").alias("node")).distinct()
         grown = Observation()
@@ -31,6 +34,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 64) -> DataFram
         parts.append(write_out(fresh, "front"))
         if not grown.get["n"]:
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"{grown.get['n']} nodes are more than {max_depth} steps from the seeds")
     return spark.read.schema(schema).parquet(*parts)
 
 

@@ -110,7 +110,7 @@ def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "evidence").where("source_asset_id != '' and record_id != ''").select(F.col("source_asset_id").alias("src"), F.col("record_id").alias("dst"))
     r = table(spark, sf_dir, "taxonomy_relation").where("parent_id != '' and child_id != ''").select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst"))
     seeds = table(spark, sf_dir, "source_asset").where("deleted_at is not null").select("asset_id")
-    out = graph.closure(e.unionByName(r), seeds, max_depth=256)
+    out = graph.closure(e.unionByName(r), seeds)
     return out.groupBy("depth").agg(F.count("*").alias("n_nodes")).select(F.col("depth").cast("long").alias("depth"), "n_nodes")
 
 

@@ -22,6 +22,16 @@ def test_closure(spark):
     assert rows(graph.closure(e.limit(0), spark.createDataFrame([("a",)], "id string"))) == {("a", 0)}
 
 
+def test_closure_of_a_long_chain(spark):
+    seed = spark.createDataFrame([(0,)], "id long")
+    chain = spark.range(70).selectExpr("id as src", "id + 1 as dst").coalesce(1)
+    assert rows(graph.closure(chain, seed)) == {(i, i) for i in range(71)}
+    short = chain.where("src < 3")
+    assert rows(graph.closure(short, seed, max_depth=3)) == {(i, i) for i in range(4)}
+    with pytest.raises(ValueError):
+        graph.closure(short, seed, max_depth=2)
+
+
 def test_expand(spark):
     start = spark.createDataFrame([("A",)], "id string")
     reached, left = graph.expand(edges(spark, ("A", "B"), ("B", "A")), start)
