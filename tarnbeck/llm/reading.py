@@ -355,7 +355,11 @@ class ReadingModel:
 
 
 def train(texts: list[str], level: np.ndarray, source: list[str | None], folds: int = 4) -> ReadingModel:
-    """Fit on labelled texts; sources are left out in turn to calibrate and to report errors."""
+    """Fit on labelled texts; sources are left out in turn to calibrate and to report errors.
+
+    What is left out gives nothing to the fold that predicts it: neither trees nor token difficulty
+    see a left-out source or a copy of one of its texts, and a fold's reported errors are those under knots fitted without it.
+    """
     names = [s or "" for s in source]
     count: dict[str, int] = {}
     for s in names:
@@ -364,34 +368,55 @@ def train(texts: list[str], level: np.ndarray, source: list[str | None], folds:
     for s, c in sorted(count.items(), key=lambda x: (-x[1], x[0])):
         k = load.index(min(load))
         place[s], load[k] = k, load[k] + c
+    number: dict[str, int] = {}
+    same = np.array([number.setdefault(t, len(number)) for t in texts])  # copies have one number
     fold = np.array([place[s] for s in names])
     if len(set(fold.tolist())) < 2:
-        fold = np.arange(len(texts)) % folds
-    # Token difficulty for training rows comes from documents of other parts, so that none sees its own label.
-    part = np.arange(len(texts)) % 5
-    chunks = [(k, rows) for k in range(5) for rows in np.array_split(np.flatnonzero(part == k), max(1, len(texts) // 5 // 500)) if len(rows)]
+        fold = same % folds
+    # Token difficulty for training rows comes from documents of other parts, so that none sees its own label or a copy's.
+    part = same % 5
+    held_in = np.zeros((len(number), folds), bool)
+    held_in[same, fold] = True
+    bars = held_in[same]  # the folds that a row is no training row of: its own, and those of its copies
+    cells: dict[tuple, list[int]] = {}
+    for i, key in enumerate(zip(fold.tolist(), map(tuple, bars.tolist()), part.tolist())):
+        cells.setdefault(key, []).append(i)
+    chunks = [(key, rows) for key, own in sorted(cells.items()) for rows in np.array_split(np.array(own), max(1, len(own) // 500))]
     read = lambda rows: parse([texts[i] for i in rows.tolist()])
-    stats = [(k, token_stats(read(rows), level[rows])) for k, rows in chunks]
-    lexicons = [Lexicon.of([s for j, s in stats if j != k], float(level[part != k].mean())) for k in range(5)]
-    x = np.zeros((0, 0), np.float32)
-    for k, rows in chunks:
-        mine = features(read(rows), lexicons[k])
-        if not len(x):
-            x = np.zeros((len(texts), mine.shape[1]), np.float32)
-        x[rows] = mine
+    stats = [token_stats(read(rows), level[rows]) for _, rows in chunks]
+
+    def lexicon_without(left: int | None, away: int | None) -> Lexicon:
+        """From all rows but those that fold ``left`` bars and those of part ``away``."""
+        use = [(left is None or not bar[left]) and own != away for (_, bar, own), _ in chunks]
+        seen = [rows for (_, rows), u in zip(chunks, use) if u]
+        return Lexicon.of([s for s, u in zip(stats, use) if u], float(level[np.concatenate(seen)].mean()) if seen else float(level.mean()))
+
+    every = [None, *sorted(set(fold.tolist()))]
+    lexicons = {(k, j): lexicon_without(k, j) for k in every for j in (None, *range(5))}
+    x: dict[int | None, np.ndarray] = {}
+    for (own, bar, j), rows in chunks:
+        p = read(rows)
+        for k in every:
+            if k is None or k == own or not bar[k]:
+                mine = features(p, lexicons[k, None if k is not None and k == own else j])
+                if k not in x:
+                    x[k] = np.zeros((len(texts), mine.shape[1]), np.float32)
+                x[k][rows] = mine
     held = np.full(len(texts), level.mean())
-    for k in sorted(set(fold.tolist())):
-        rest = np.flatnonzero(fold != k)
+    for k in every[1:]:
+        rest = np.flatnonzero(~bars[:, k])
         if len(rest) >= 20:
-            held[fold == k] = Boosted().fit(x[rest], level[rest]).predict(x[fold == k])
-    knots = isotonic(held, level)
-    done = np.clip(np.interp(held, *knots), 1, 5)
+            held[fold == k] = Boosted().fit(x[k][rest], level[rest]).predict(x[k][fold == k])
+    done = np.clip(held, 1, 5)
+    for k in every[1:]:
+        rest = ~bars[:, k]
+        if rest.any():
+            done[fold == k] = np.clip(np.interp(held[fold == k], *isotonic(held[rest], level[rest])), 1, 5)
     report = []
     for s in sorted(count):
         m = np.array([t == s for t in names])
         report.append({"source": s, "n": int(m.sum()), "mean_abs_error": float(np.abs(done[m] - level[m]).mean()), "within_half": float((np.abs(done[m] - level[m]) <= 0.5).mean())})
-    lexicon = Lexicon.of([s for _, s in stats], float(level.mean()))
-    return ReadingModel(lexicon, Boosted().fit(x, level), knots, report)
+    return ReadingModel(lexicons[None, None], Boosted().fit(x[None], level), isotonic(held, level), report)
 
 
 def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:

@@ -65,3 +65,17 @@ def test_frame(frames):
     assert reading_levels(docs.limit(0), model).count() == 0
     assert fit_reading_model(docs, labels.limit(0)) is None
     assert {r["reading_level"] for r in reading_levels(docs, None).collect()} == {None}
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_left_out_sources_tell_nothing(copies):
+    # The level hangs on a word that only one source has, or only the copies of one text: nothing can predict it.
+    rng = np.random.default_rng(4)
+    levels, texts, y, sources = rng.permutation(np.arange(60) % 5 + 1), [], [], []
+    for i in range(60):
+        for j in range(8):
+            texts.append(f"zq{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} sample text" + ("" if copies else f" {'xyzuvwrs'[j]}"))
+            y.append(float(levels[i]))
+            sources.append(f"s{j if copies else i}")
+    report = train(texts, np.array(y), sources).report
+    assert np.average([r["mean_abs_error"] for r in report], weights=[r["n"] for r in report]) > 0.9
