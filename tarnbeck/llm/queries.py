@@ -31,12 +31,13 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.where("match = 'none'").groupBy("src", "value").agg(F.countDistinct("record_id").alias("n_records"))
 
 
-def _limits(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
-    rows = table(spark, sf_dir, "piece_limits").limit(100).collect()  # one row for each field
-    return {r.field_name: (r.max_chars, r.overlap_chars) for r in rows}
+_SPLIT = (("content_block", "block_id", "text_raw"), ("chunk", "chunk_id", "retrieval_text"))
 
 
-_SPLIT = (("content_block", "block_id", "text_raw"), ("chunk", "chunk_id", "retrieval_text"))
+def _limits(spark: SparkSession, sf_dir: str) -> dict[str, tuple[int, int]]:
+    fields = [f"{name}.{column}" for name, _, column in _SPLIT]
+    rows = table(spark, sf_dir, "piece_limits").where(F.col("field_name").isin(fields)).groupBy("field_name").agg(F.min("max_chars").alias("max_chars"), F.min("overlap_chars").alias("overlap_chars")).collect()  # one for each field asked for
+    return {r.field_name: (r.max_chars, r.overlap_chars) for r in rows}
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,11 +54,21 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, key, column in _SPLIT:
         rows = table(spark, sf_dir, name).select(F.lit(name).alias("src"), F.col(key).alias("item_id"), column).where("item_id is not null")
-        cut = pieces(rows, column, *_limits(spark, sf_dir)[f"{name}.{column}"], least_pieces=2).drop(column)
+        cut = pieces(rows, column, *_limits(spark, sf_dir)[f"{name}.{column}"], least_pieces=2)
         out = cut if out is None else out.unionByName(cut)
     return out.distinct()
 
 
+def p4_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each text put together again: length and hash of what they make, whether all are within the limit and share the overlap."""
+    limits = spark.createDataFrame([(f.split(".")[0], *v) for f, v in _limits(spark, sf_dir).items()], "src string, max_chars int, overlap int")
+    parts = p4_pieces(spark, sf_dir).join(F.broadcast(limits), "src")
+    one = parts.groupBy("src", "item_id", "overlap").agg(F.array_sort(F.collect_list(F.struct("piece_no", "start", "piece"))).alias("p"), F.min(F.length("piece") <= F.col("max_chars")).alias("within_limit"))
+    text = F.array_join(F.transform("p", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substr(x["piece"], F.col("overlap") + 1))), "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.right(F.get("p", i - 1)["piece"], F.col("overlap")) == F.left(F.get("p", i)["piece"], F.col("overlap")))
+    return one.select("src", "item_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_hash"), "within_limit", F.forall(pairs, lambda x: x).alias("overlap_shared"))
+
+
 def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = (("queries", "id", "food"), ("taxonomy_node", "id", "name"), ("content_block", "block_id", "text_raw"))
     out = None
@@ -103,7 +114,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level >= 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p9_levels, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p9_levels, p9_found)}
 
 ORACLE = {
     "p4_found": """
@@ -111,4 +122,8 @@ select distinct 'content_block' src, block_id item_id from content_block, piece_
 where field_name = 'content_block.text_raw' and length(text_raw) > max_chars
 union all select distinct 'chunk', chunk_id from chunk, piece_limits
 where field_name = 'chunk.retrieval_text' and length(retrieval_text) > max_chars""",
+    "p4_rejoined": """
+with t as (select distinct 'content_block' src, block_id item_id, text_raw t from content_block, piece_limits where field_name = 'content_block.text_raw' and length(text_raw) > max_chars
+  union all select distinct 'chunk', chunk_id, retrieval_text from chunk, piece_limits where field_name = 'chunk.retrieval_text' and length(retrieval_text) > max_chars)
+select src, item_id, length(t)::bigint n_chars, sha256(t) text_hash, true within_limit, true overlap_shared from t where item_id is not null""",
 }

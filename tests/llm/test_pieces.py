@@ -1,8 +1,9 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tarnbeck.llm.pieces import oversized, pieces
+from tarnbeck.llm.pieces import offsets, oversized, pieces
 
 
 def check(text, rows, limit, overlap):
@@ -46,3 +47,19 @@ def test_edges(spark):
     assert pieces(df.limit(0), "text", 10, 2).count() == 0
     with pytest.raises(ValueError):
         pieces(df, "text", 10, 10)
+
+
+def test_offsets_of_arrays_of_any_length(spark):
+    df = spark.createDataFrame([(n,) for n in (0, 1, 63, 64, 65, 5000)], "n int")
+    lengths = F.when(F.col("n") == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), "n"), lambda i: i % 7))
+    for r in df.select(lengths.alias("a"), offsets(lengths).alias("o")).collect():
+        assert r["o"] == [sum(r["a"][:i]) for i in range(len(r["a"]))]
+
+
+def test_one_very_long_text_takes_time_and_memory_in_proportion(spark):
+    """Ten million characters, 30 MB: with the text or all its pieces on every piece this would be hundreds of gigabytes."""
+    long = spark.range(1).select("id", F.repeat(F.concat(F.lit("第一句说明内容很长。第二句说明内容，\n"), F.col("id").cast("string")), 500_000).alias("text"))
+    out = pieces(long, "text", 1200, 120)
+    assert out.columns == ["id", "piece_no", "n_pieces", "start", "piece"]
+    r = out.agg(F.count("*").alias("n"), F.max("n_pieces").alias("all"), F.sum(F.length("piece")).alias("chars"), F.max(F.length("piece")).alias("longest"), F.max(F.col("start") + F.length("piece")).alias("end")).first()
+    assert r["n"] == r["all"] and r["longest"] <= 1200 and r["end"] == 10_000_000 == r["chars"] - 120 * (r["n"] - 1)
