@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnbeck.llm.bpe import encode
 from tarnbeck.llm.canonical import map_to_canonical
-from tarnbeck.llm.mixing import mix_documents
+from tarnbeck.llm.mixing import Mixture, deviations, mix_documents
 from tarnbeck.llm.pieces import oversized, pieces
 from tarnbeck.llm.reading import fit_reading_model, reading_levels
 from tarnbeck.llm.unify_text import unify
@@ -93,14 +93,32 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text")
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> Mixture:
+    return mix_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a document in the mixture; read in order of (slot, start, doc_id)."""
-    return mix_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets")).rows
+    return _mixture(spark, sf_dir).rows
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
-    return mix_documents(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), table(spark, sf_dir, "mix_targets")).shares
+    return _mixture(spark, sf_dir).shares
+
+
+def p8_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most tokens by which each source is off its share at any moment of the mixture, and the bound: a block and uncut documents."""
+    return deviations(_mixture(spark, sf_dir))
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source with documents: no document beyond max_repeats, no use twice, never a block off its share."""
+    m = _mixture(spark, sf_dir)
+    once = m.rows.groupBy("source", "doc_id", "repeat").agg(F.count("*").alias("n")).groupBy("source").agg((F.max("n") == 1).alias("used_once"))
+    off = deviations(m).select("source", (F.col("deviation") < F.col("allowed")).alias("within_block"))
+    caps = m.shares.select("source", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
+    return once.join(off, "source").join(caps, "source")
 
 
 def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +132,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level >= 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p9_levels, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p8_deviation, p8_invariants, p9_levels, p9_found)}
 
 ORACLE = {
     "p4_found": """
@@ -126,4 +144,7 @@ where field_name = 'chunk.retrieval_text' and length(retrieval_text) > max_chars
 with t as (select distinct 'content_block' src, block_id item_id, text_raw t from content_block, piece_limits where field_name = 'content_block.text_raw' and length(text_raw) > max_chars
   union all select distinct 'chunk', chunk_id, retrieval_text from chunk, piece_limits where field_name = 'chunk.retrieval_text' and length(retrieval_text) > max_chars)
 select src, item_id, length(t)::bigint n_chars, sha256(t) text_hash, true within_limit, true overlap_shared from t where item_id is not null""",
+    "p8_invariants": """
+select source, true used_once, true within_block, true within_repeats from mix_targets
+where target_share > 0 and max_repeats > 0 and source in (select source from documents where text <> '')""",
 }

@@ -2,20 +2,63 @@ from collections import Counter
 
 import pytest
 
-from tarnbeck.llm.mixing import mix, pfair, slot_counts
+from tarnbeck.llm.mixing import deviations, frames, mix, pfair, whole_weights
 
 TARGETS = "source string, target_share double, max_repeats int"
 
 
-@pytest.mark.parametrize("shares", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {"a": 0.98, "b": 0.01, "c": 0.01}, {f"s{i}": 1 / 17 for i in range(17)}])
-def test_pfair_keeps_within_one_block(shares):
-    counts = slot_counts(shares, 1000)
-    assert sum(counts.values()) == 1000
-    seen, order = Counter(), pfair(counts)
-    for t, s in enumerate(order, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * n / 1000) < 1 for x, n in counts.items())
-    assert seen == counts
+SHARES = [
+    {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {"a": 0.98, "b": 0.01, "c": 0.01}, {f"s{i}": 1 / 17 for i in range(17)},
+    {"a": 0.16, "b": 0.2, "c": 0.61}, {"a": 0.9999, "b": 0.00003, "c": 0.00007}, {f"s{i}": 1 / (i + 2) for i in range(30)},
+]
+
+
+@pytest.mark.parametrize("shares", SHARES)
+@pytest.mark.parametrize("frame", [1, 7, 1000])
+def test_a_source_is_less_than_two_half_blocks_off_at_every_slot(shares, frame):
+    weights = whole_weights(shares)
+    whole, slots = sum(weights.values()), 10 * frame if frame > 100 else 3000
+    seen, t = Counter(), 0
+    for counts in frames(weights, slots, frame):
+        assert all(seen[s] == first for s, (first, _) in counts.items())
+        order = pfair({s: n for s, (_, n) in counts.items()})
+        assert len(order) == frame
+        for s in order:
+            seen[s] += 1
+            t += 1
+            assert all(abs(seen[x] * whole - t * n) < 2 * whole for x, n in weights.items())
+        assert all(abs(seen[x] * whole - t * n) < whole for x, n in weights.items())
+    assert t >= slots
+
+
+def test_weights_are_exact():
+    assert whole_weights({"a": 0.1, "b": 0.2, "c": 0.67}) == {"a": 10, "b": 20, "c": 67}
+
+
+def test_a_frame_stops_once_it_has_what_is_wanted():
+    full = pfair({"a": 600, "b": 400})
+    assert pfair({"a": 600, "b": 400}, {"a": 3, "b": 2}) == full[: max(full.index("b", full.index("b") + 1), [i for i, s in enumerate(full) if s == "a"][2]) + 1]
+    assert pfair({"a": 600, "b": 0}, {"a": 0, "b": 0}) == []
+
+
+@pytest.mark.parametrize("frame", [13, 64])
+def test_the_deviation_stays_below_one_block_and_a_document_over_many_frames(spark, frame):
+    docs = [(i, "abc"[i % 3], 20 + i % 11) for i in range(6000)]
+    sized = spark.createDataFrame(docs, "doc_id long, source string, n_tokens int")
+    targets = spark.createDataFrame([("a", 0.16, 3), ("b", 0.2, 3), ("c", 0.61, 3), ("gone", 0.03, 1)], TARGETS)
+    m = mix(sized, targets, block_tokens=400, slots=frame)
+    rows = sorted(m.rows.collect(), key=lambda r: (r["slot"], r["start"], r["doc_id"]))
+    assert rows[-1]["slot"] > 10 * frame
+    aimed = {r["source"]: r["aimed_share"] for r in m.shares.collect() if r["aimed_share"]}
+    total, by, most = 0, Counter(), Counter()
+    for i, r in enumerate(rows):
+        total += r["n_tokens"]
+        by[r["source"]] += r["n_tokens"]
+        if i + 1 == len(rows) or rows[i + 1]["slot"] != r["slot"]:
+            for s in aimed:
+                most[s] = max(most[s], abs(by[s] - total * aimed[s]))
+    for r in deviations(m, 400).collect():
+        assert r["deviation"] == pytest.approx(most[r["source"]]) and r["deviation"] < r["allowed"] <= 400 + 2 * 30
 
 
 def test_mixture(spark):
