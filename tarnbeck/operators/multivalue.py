@@ -3,8 +3,10 @@
 A batch's string buffer is decoded once to code points; quote parity, bracket
 depth and separator masks are computed over the whole batch with numpy, the
 child offsets follow from the masks and the items are cut from the buffer as one
-Arrow array. Rows whose quotes or brackets do not pair up go through
-:func:`scan_cuts`, which states the same rules one character at a time.
+Arrow array. Commas and slashes beside letters or digits are looked at one by one
+(:func:`protections`). Rows whose quotes or brackets do not pair up, and those with a
+straight quote after a digit, go through :func:`scan_cuts`, which states the same
+rules one character at a time in one pass; :func:`split_paths` counts them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ UNITS = frozenset(
     "nmol kJ J kcal cal Cal IU CFU cfu MPN MPa kPa Pa W kW r rpm wt vol dw fw cells spores".split()
 )
 
+#: The closing mark of each opening one, by code point.
+_PARTNER = np.zeros(0x110000, np.uint32)
+for _a, _b in {**BRACKETS, **QUOTES}.items():
+    _PARTNER[ord(_a)] = ord(_b)
+
 OTHER, SEP, SPACE, HIDDEN, OPEN, CLOSE, DOUBLE, SINGLE, DIGIT, LATIN = range(10)
 
 
@@ -86,108 +93,147 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _Tables.kinds, _Tables.looks
 
 
-def protected(text: str, i: int) -> bool:
-    """Whether the mark at ``i`` of a folded text without hidden characters is part of
-    a number, a chemical name, a unit or a standard's code."""
-    mark, n = text[i], len(text)
-    if mark not in ",/" or i == 0 or i + 1 == n:
-        return False
-    before, after = text[i - 1], text[i + 1]
-    digit = lambda c: c.isascii() and c.isdigit()
-    if digit(before) and digit(after):
-        return True
-    word = lambda c: c.isascii() and c.isalnum() or c.isalpha() and ord(c) < 0x0530
-    if not (word(before) or before in "'′%") or not (word(after)):
-        return False
-    lo = i
-    while lo and (word(text[lo - 1]) or text[lo - 1] in "'′%"):
-        lo -= 1
-    hi = i + 1
-    while hi < n and (word(text[hi]) or text[hi] in "'′"):
-        hi += 1
-    left, right = text[lo:i], text[i + 1 : hi]
-    if mark == ",":  # positions of a chemical name: N,N- 2,N- α,β-
-        locant = lambda s: len(s.strip("'′")) == 1 or s.strip("'′").isdigit()
-        while locant(right) and hi < n and text[hi] == ",":
-            at = hi + 1
-            hi = at
-            while hi < n and (word(text[hi]) or text[hi] in "'′"):
-                hi += 1
-            right = text[at:hi]
-        return locant(left) and locant(right) and hi < n and text[hi] in "-‐‑–−"
-    unit = left.lstrip("0123456789.")
-    if unit in UNITS or left.endswith("%"):
-        tail = right
-        if right.isdigit():  # g/100 g
-            at = hi
-            while at < n and text[at] == " ":
-                at += 1
-            hi = at
-            while hi < n and word(text[hi]):
-                hi += 1
-            tail = text[at:hi]
-        if tail.lstrip("0123456789") in UNITS:
+_DASH = "-‐‑–−"
+
+
+def _digit(c: str) -> bool:
+    return c.isascii() and c.isdigit()
+
+
+def _word(c: str) -> bool:
+    return c.isascii() and c.isalnum() or c.isalpha() and ord(c) < 0x0530
+
+
+def _run(text: str, i: int) -> int:
+    """End of the letters, digits and primes from ``i`` on."""
+    while i < len(text) and (_word(text[i]) or text[i] in "'′"):
+        i += 1
+    return i
+
+
+def _locant(s: str) -> bool:
+    s = s.strip("'′")
+    return len(s) == 1 or s.isdigit()
+
+
+def protections(text: str, marks: list[int]) -> list[bool]:
+    """Whether each mark of a folded text without hidden characters is part of a number, a chemical name, a unit or a standard's code.
+
+    Chains of positions (N,N,N-) are followed once, whichever of their commas is asked for, so time is linear in the text.
+    """
+    n = len(text)
+    named: dict[int, bool] = {}
+
+    def names(i: int) -> bool:
+        """Whether positions follow the comma at ``i`` up to a hyphen: N,N- 2,N- α,β-"""
+        way, good = [], False
+        while i not in named:
+            way.append(i)
+            hi = _run(text, i + 1)
+            if not _locant(text[i + 1 : hi]) or hi == n or text[hi] != ",":
+                good = _locant(text[i + 1 : hi]) and hi < n and text[hi] in _DASH
+                break
+            i = hi
+        else:
+            good = named[i]
+        named.update(dict.fromkeys(way, good))
+        return good
+
+    def kept(i: int) -> bool:
+        mark = text[i]
+        if mark not in ",/" or i == 0 or i + 1 == n:
+            return False
+        before, after = text[i - 1], text[i + 1]
+        if _digit(before) and _digit(after):
             return True
-    # a standard's code: letters, a slash, and T, Z or the like
-    return left.rstrip("0123456789").isascii() and left.rstrip("0123456789").isupper() and len(left) <= 6 and right in ("T", "Z", "TS", "TR", "GT", "XG")
+        if not (_word(before) or before in "'′%") or not _word(after):
+            return False
+        lo = i
+        while lo and (_word(text[lo - 1]) or text[lo - 1] in "'′%"):
+            lo -= 1
+        left = text[lo:i]
+        if mark == ",":
+            return _locant(left) and names(i)
+        hi = _run(text, i + 1)
+        right = text[i + 1 : hi]
+        if left.lstrip("0123456789.") in UNITS or left.endswith("%"):
+            tail = right
+            if right.isdigit():  # g/100 g
+                at = hi
+                while at < n and text[at] == " ":
+                    at += 1
+                hi = at
+                while hi < n and _word(text[hi]):
+                    hi += 1
+                tail = text[at:hi]
+            if tail.lstrip("0123456789") in UNITS:
+                return True
+        # a standard's code: letters, a slash, and T, Z or the like
+        return left.rstrip("0123456789").isascii() and left.rstrip("0123456789").isupper() and len(left) <= 6 and right in ("T", "Z", "TS", "TR", "GT", "XG")
+
+    return [kept(i) for i in marks]
+
+
+def _closings(seen: str, kinds: list[int]) -> dict[int, int]:
+    """Where each opening mark closes, if it does: brackets and paired quotes by a stack of each kind, a straight double quote at the
+    end of the next odd run of such quotes (doubled ones stand for one), an apostrophe at the next one that ends a value."""
+    n, close = len(seen), {}
+    for a, b in {**BRACKETS, **QUOTES}.items():
+        if a in seen and b in seen:
+            open_ = []
+            for k, c in enumerate(seen):
+                if c == a:
+                    open_.append(k)
+                elif c == b and open_:
+                    close[open_.pop()] = k
+    later, run, ends = -1, 0, -1  # the next odd run's last quote; quotes of this run from here on, and its last
+    apostrophe, solid = -1, SEP  # the next apostrophe that ends a value; the kind of the next character that is no space
+    for k in range(n - 1, -1, -1):
+        if kinds[k] == DOUBLE:
+            if not run:
+                ends = k
+            close[k] = ends if run % 2 else later
+            run += 1
+        elif run:
+            later, run = ends if run % 2 else later, 0
+        if kinds[k] == SINGLE:
+            close[k] = apostrophe
+            apostrophe = k if solid == SEP else apostrophe
+        if kinds[k] != SPACE:
+            solid = kinds[k]
+    return close
+
+
+def _shown(text: str) -> tuple[list[int], str]:
+    """Places of the characters that show something, and what they look like."""
+    keep = [i for i, c in enumerate(text) if not hidden(c)]
+    return keep, "".join(_looks(text[i]) for i in keep)
 
 
 def scan_cuts(text: str) -> list[int]:
-    """Indexes of the separators of one text, by the rules taken one character at a time.
+    """Indexes of the separators of one text, by the rules taken one character at a time, in one pass.
 
     An opening mark counts only if its closing mark follows; an apostrophe opens
     only at the start of a value and closes only at its end; a straight double quote
     after a digit is an inch mark.
     """
-    keep = [i for i, c in enumerate(text) if not hidden(c)]
-    seen = "".join(_looks(text[i]) for i in keep)
+    keep, seen = _shown(text)
     kinds = [_kind(c) for c in seen]
-    cuts, i, n, start = [], 0, len(seen), True
-
-    def closing(at: int) -> int:
-        c, end = seen[at], -1
-        if kinds[at] == OPEN:
-            want, depth = {**BRACKETS, **QUOTES}[c], 0
-            for k in range(at, n):
-                depth += (seen[k] == c) - (seen[k] == want)
-                if not depth:
-                    return k
-        elif kinds[at] == DOUBLE:
-            k = at + 1
-            while k < n:
-                if seen[k] == c:
-                    if k + 1 < n and seen[k + 1] == c:
-                        k += 2
-                        continue
-                    return k
-                k += 1
-        else:
-            for k in range(at + 1, n):
-                if seen[k] == c:
-                    r = k + 1
-                    while r < n and kinds[r] == SPACE:
-                        r += 1
-                    if r == n or kinds[r] == SEP:
-                        return k
-        return end
-
-    while i < n:
+    close = _closings(seen, kinds)
+    marks = [i for i, k in enumerate(kinds) if k == SEP]
+    spared = {i for i, p in zip(marks, protections(seen, marks)) if p}
+    cuts, i, start = [], 0, True
+    while i < len(seen):
         k = kinds[i]
         if k == SEP:
-            if not protected(seen, i):
+            if i not in spared:
                 cuts.append(keep[i])
                 start = True
-            i += 1
-            continue
-        if k == SPACE:
-            i += 1
-            continue
-        if k == OPEN or k == DOUBLE and not (i and kinds[i - 1] == DIGIT) or k == SINGLE and start:
-            end = closing(i)
-            if end > i:
-                i, start = end + 1, False
-                continue
-        start = False
+        elif k != SPACE:
+            opens = k == OPEN or k == DOUBLE and not (i and kinds[i - 1] == DIGIT) or k == SINGLE and start
+            start = False
+            if opens and close.get(i, -1) > i:
+                i = close[i]
         i += 1
     return cuts
 
@@ -227,11 +273,16 @@ def split_batch(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
     Empty items are dropped. Null rows have none.
     """
+    return _split(column)[:2]
+
+
+def _split(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Items, their rows, and which rows went through the scanner."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     column = pa.concat_arrays([column]) if column.offset else column
     n = len(column)
     if not n:
-        return pa.array([], pa.string()), np.zeros(0, np.int64)
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, bool)
     _, off, data = column.buffers()
     offsets = np.frombuffer(off, np.int64, n + 1, column.offset * 8)
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -250,40 +301,57 @@ def split_batch(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     parity = _per_row(kind == DOUBLE, begin, rows) & 1
     mask = (kind == SEP) & (depth == 0) & (parity == 0)
 
-    # Rows that need the scanner: marks that do not pair, apostrophes, and several kinds of marks crossing.
+    # An apostrophe opens a value at its start and closes it at its end; any other is a letter.
+    solid = np.flatnonzero((kind != HIDDEN) & (kind != SPACE))
+    single = np.flatnonzero(kind == SINGLE)
+    place = np.searchsorted(solid, single)
+    before, after = solid[np.maximum(place - 1, 0)], solid[np.minimum(place + 1, len(solid) - 1)] if len(solid) else single
+    starts_value = (place == 0) | (rows[before] != rows[single]) | (kind[before] == SEP) if len(single) else np.zeros(0, bool)
+    ends_value = (place + 1 >= len(solid)) | (rows[after] != rows[single]) | (kind[after] == SEP) if len(single) else np.zeros(0, bool)
+    edge = single[starts_value | ends_value]
+    quoted_move = np.zeros(len(points), np.int64)
+    quoted_move[edge] = 1
+    quoted = _per_row(quoted_move, begin, rows) & 1
+    mask &= quoted == 0
+
+    # Rows that need the scanner: marks that do not pair or cross, and straight quotes after a digit, which may be inch marks.
     odd = np.zeros(n, bool)
     filled = np.flatnonzero(np.diff(starts) > 0)
     last = starts[filled + 1] - 1
-    odd[filled[(depth[last] != 0) | (parity[last] != 0)]] = True
+    odd[filled[(depth[last] != 0) | (parity[last] != 0) | (quoted[last] != 0)]] = True
     odd[rows[depth < 0]] = True
-    odd[rows[(depth > 1)]] = True
-    odd[rows[kind == SINGLE]] = True
     odd[rows[(kind == DOUBLE) & (depth > 0)]] = True
-    odd[rows[((kind == OPEN) | (kind == CLOSE)) & (parity == 1)]] = True
-    opens, closes = np.flatnonzero(kind == OPEN), np.flatnonzero(kind == CLOSE)
-    if len(opens) == len(closes):
-        pair = {ord(a): ord(b) for a, b in {**BRACKETS, **QUOTES}.items()}
-        wrong = np.array([pair[a] != b for a, b in zip(look[opens].tolist(), look[closes].tolist())], bool)
-        if len(opens):
-            odd[rows[opens[wrong]]] = True
-    else:
-        odd[rows[opens]] = True
-    # A mark after a digit may be an inch mark; a comma or slash beside a letter or digit may belong to a name.
+    odd[rows[single[starts_value & ends_value]]] = True
+    odd[rows[edge[(depth[edge] != 0) | (parity[edge] != 0)]]] = True
+    odd[rows[single[starts_value & (quoted[single] == 0)]]] = True  # running sums count the mark itself: an opening one is the odd one
+    odd[rows[single[ends_value & (quoted[single] == 1)]]] = True
     quote = np.flatnonzero(kind == DOUBLE)
     quote = quote[quote > 0]
     odd[rows[quote[kind[quote - 1] == DIGIT]]] = True
+    # Opening and closing marks of one depth take turns in a row where all pair up; each must close its own kind.
+    marks = np.flatnonzero((kind == OPEN) | (kind == CLOSE))
+    marks = marks[~odd[rows[marks]]]
+    level = depth[marks] + (kind[marks] == CLOSE)
+    marks = marks[np.lexsort((marks, level, rows[marks]))]
+    odd[rows[marks[::2][_PARTNER[look[marks[::2]]] != look[marks[1::2]]]]] = True
+
+    # A comma or slash beside a letter or digit may belong to a name.
     at = np.flatnonzero(mask & ((look == ord(",")) | (look == ord("/"))))
     near = np.zeros(len(at), bool)
     for step in (-1, 1):
         beside = np.clip(at + step, 0, max(0, len(points) - 1))
         near |= (rows[beside] == rows[at]) & np.isin(kind[beside], (DIGIT, LATIN, HIDDEN, SINGLE))
-    odd[rows[at[near]]] = True
+    at = at[near & ~odd[rows[at]]]
+    for group in np.split(at, np.flatnonzero(np.diff(rows[at])) + 1) if len(at) else ():
+        first = starts[rows[group[0]]]
+        keep, seen = _shown(column[int(rows[group[0]])].as_py())
+        spared = protections(seen, np.searchsorted(keep, group - first).tolist())
+        mask[group[np.array(spared)]] = False
 
     mask &= ~odd[rows] if len(rows) else mask
     cuts = [np.flatnonzero(mask)]
     for r in np.flatnonzero(odd).tolist():
-        text = column[r].as_py()
-        cuts.append(np.array(scan_cuts(text), np.int64) + starts[r])
+        cuts.append(np.array(scan_cuts(column[r].as_py()), np.int64) + starts[r])
     cut = np.sort(np.concatenate(cuts).astype(np.int64))
 
     # Child offsets: each row's start, and around each separator; the separators themselves are cut away.
@@ -297,12 +365,12 @@ def split_batch(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     segments = pa.LargeStringArray.from_buffers(len(owner), pa.py_buffer(edges.astype(np.int64).tobytes()), data)
     items = pc.utf8_trim_whitespace(segments.filter(pa.array(is_item)))
     owner = owner[is_item]
-    quoted = pc.match_substring_regex(items, "^[\"'“‘「『«‹〝„＂＇]")
-    if pc.any(quoted).as_py():
-        items = pc.if_else(quoted, pa.array([unquote(s) if q else "" for s, q in zip(items.to_pylist(), quoted.to_pylist())], pa.large_string()), items)
+    wrapped = pc.match_substring_regex(items, "^[\"'“‘「『«‹〝„＂＇]")
+    if pc.any(wrapped).as_py():
+        items = pc.if_else(wrapped, pa.array([unquote(s) if q else "" for s, q in zip(items.to_pylist(), wrapped.to_pylist())], pa.large_string()), items)
     shown = pc.replace_substring_regex(items, "[\\p{Cf}\\x{34f}\\x{115f}\\x{1160}\\x{3164}\\x{ffa0}\\x{fe00}-\\x{fe0f}\\p{Z}\\s]", "")
     full = pc.greater(pc.binary_length(shown), 0)
-    return items.filter(full).cast(pa.string()), owner[np.asarray(full)]
+    return items.filter(full).cast(pa.string()), owner[np.asarray(full)], odd
 
 
 #: Bytes of repeated columns in one output batch; Arrow strings end at 2 GB.
@@ -351,3 +419,16 @@ def split_values(df: DataFrame, column: str, out_pos: str = "pos", out_item: str
                 lo = hi
 
     return data.mapInArrow(cut, schema)
+
+
+def split_paths(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """(by, path, n_rows): how many rows went through the masks and how many through the scanner; null and empty ones count as masks."""
+    data = df.select(*by, F.col(column).cast("string").alias("__packed"))
+    schema = T.StructType([*df.select(*by).schema.fields, T.StructField("path", T.StringType())])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            odd = _split(batch.column(batch.num_columns - 1))[2]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.where(odd, "scanner", "masks").tolist(), pa.string())], names=[*by, "path"])
+
+    return data.mapInArrow(tell, schema).groupBy(*by, "path").agg(F.count("*").alias("n_rows"))

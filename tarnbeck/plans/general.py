@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.operators.hierarchy import all_descendants, all_nodes, cycles, descendants, hierarchy
-from tarnbeck.operators.multivalue import split_values
+from tarnbeck.operators.multivalue import split_paths, split_values
 from tarnbeck.operators.orphans import Parent, Reference, broken_counts, broken_references
 from tarnbeck.session import table
 
@@ -64,15 +64,23 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broken_counts(_parents(spark, sf_dir), _references(spark, sf_dir))
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = table(spark, sf_dir, "taxonomy_node").select(F.lit("taxonomy_node").alias("src"), F.col("id").alias("record_id"), "name")
     bridges = table(spark, sf_dir, "inspection_bridges").select(F.lit("inspection_bridges").alias("src"), F.col("bridge_id").alias("record_id"), "name")
-    packed = nodes.unionByName(bridges).where("record_id is not null")
-    items = split_values(packed, "name", least=2)
+    return nodes.unionByName(bridges).where("record_id is not null")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = split_values(_packed(spark, sf_dir), "name", least=2)
     return items.select("src", "record_id", "pos", "item").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_descendants, p1_all_nodes, p1_all_descendants, p3_found, p3_counts, p6_found)}
+def p6_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows the masks decide, and how many went through the scanner."""
+    return split_paths(_packed(spark, sf_dir), "name", ["src"])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_descendants, p1_all_nodes, p1_all_descendants, p3_found, p3_counts, p6_found, p6_paths)}
 
 _BROKEN = """
 with refs as (

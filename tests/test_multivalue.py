@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tarnbeck.operators.multivalue import hidden, scan_cuts, split_batch, split_values, unquote
+from tarnbeck.operators.multivalue import hidden, protections, scan_cuts, split_batch, split_paths, split_values, unquote
 
 
 def brute(text):
@@ -49,6 +49,12 @@ def split(texts):
         ("苹果）、梨", ["苹果）", "梨"]),
         ('8"披萨、6"披萨', ['8"披萨', '6"披萨']),
         ("苹果和梨及桃", ["苹果和梨及桃"]),
+        ("【罐头（红、黄）、果酱】、茶", ["【罐头（红、黄）、果酱】", "茶"]),
+        ("“苹果（红、黄）、梨”/茶", ["苹果（红、黄）、梨", "茶"]),
+        ("'苹果(红,黄)/梨' , '茶'", ["苹果(红,黄)/梨", "茶"]),
+        ("(苹果[红)、黄]", ["(苹果[红)", "黄]"]),
+        ("N,N,N,N-三甲基,α,β-油", ["N,N,N,N-三甲基", "α,β-油"]),
+        ("N,N,N", ["N", "N", "N"]),
         ("散装\xad1,​3-油", ["散装\xad1,​3-油"]),
         ("、、", []),
         ("", []),
@@ -75,3 +81,25 @@ def test_frame(spark):
     assert out.where("id = 5").count() == 50_000 and out.where("id in (2, 3, 4)").count() == 0
     assert split_values(df, "name").where("id = 4").count() == 1
     assert split_values(df.limit(0), "name").count() == 0
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.text(alphabet="'\"()[]a,、 1", max_size=14), min_size=1, max_size=4))
+def test_marks_that_cross_equal_the_scanner(texts):
+    assert split(texts) == [brute(t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["(" * 200_000, "'a" * 200_000, '"a' * 200_001, "N," * 200_000, "（" * 100_000 + "】" * 100_000, "'，" * 100_000, "a/" * 200_000])
+def test_time_is_linear(text):
+    import time
+
+    began = time.monotonic()
+    scan_cuts(text)
+    protections(text, [i for i, c in enumerate(text) if c == ","])
+    split([text])
+    assert time.monotonic() - began < 12  # the square of these lengths would take hours
+
+
+def test_paths(spark):
+    df = spark.createDataFrame([(1, "a、b"), (1, "'a、b'、c"), (1, "1,3-油、b"), (1, "苹果（红、梨"), (2, None)], "k int, name string")
+    assert {tuple(r) for r in split_paths(df, "name", ["k"]).collect()} == {(1, "masks", 3), (1, "scanner", 1), (2, "masks", 1)}
