@@ -12,6 +12,7 @@ distinct values of each Arrow batch.
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect, bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -176,17 +177,21 @@ class NameIndex:
 
     def resolve(self, s: str) -> str:
         """The entry that the unified value ``s`` means, or ''."""
+        return self.staged(s)[0]
+
+    def staged(self, s: str) -> tuple[str, str]:
+        """That entry, and what found it: ``mention``, ``token set`` (the same characters in another order of parts), ``slip``, or ``none``."""
         levels = self.peeled(s)
         hit = self.mentioned(s, levels)
         if hit is not None:
-            return hit
+            return hit, "mention"
         found = [(depth, self.joined(s[lo:hi])) for depth, (lo, hi) in enumerate(levels)]
         for _, rows in found:  # without a slip, the fullest value first, so that no letter is lost to a packing word
             exact = [(rank, f) for cost, rank, _, f in rows if not cost]
             if exact:
-                return self.forms[min(exact)[1]]
+                return self.forms[min(exact)[1]], "token set"
         best = [(cost + 0.05 * rank + 1 - len(set(o) & set(f)) / len(set(o) | set(f)), -depth, self.forms[f]) for depth, rows in found for cost, rank, o, f in rows if len(o) >= 2]
-        return min(best)[2] if best else ""
+        return (min(best)[2], "slip") if best else ("", "none")
 
 
 def arrangements(parts: list[str], form: str) -> Iterator[str]:
@@ -231,42 +236,57 @@ def _unwrapped(v: str) -> str:
     return unquote(v.strip(" 、,;/|")).strip()
 
 
-def map_to_canonical(df: DataFrame, column: str, canonical: DataFrame, out: str = "entry_id") -> DataFrame:
+_INDEX: dict[str, NameIndex] = {}
+
+
+def _index(name: str, rows: list[tuple[str, str, list[str] | None]]) -> NameIndex:
+    """The index of the broadcast list ``name``, built once in each Python worker (the last one is kept)."""
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = NameIndex.build(rows)
+    return _INDEX[name]
+
+
+def map_to_canonical(df: DataFrame, column: str, canonical: DataFrame, out: str = "entry_id", stage: str | None = None) -> DataFrame:
     """``df`` with the entry each value of ``column`` means in ``out``, and how it was found in ``match``.
 
     canonical: entry_id, name, aliases; at most MAX_NAMES names (checked, then
     broadcast). ``match`` is ``name`` (literally a canonical name), ``mapped``, ``none``
     (no entry: ``out`` is ''), ``several`` (more than one food) or ``blank`` (null or
-    blank); ``out`` is null for the last two. An empty list maps nothing. Repeated rows
+    blank); ``out`` is null for the last two. ``stage`` names a column for what found it (see
+    :meth:`NameIndex.staged`; else as ``match``). An empty list maps nothing. Repeated rows
     stay; columns named like the outputs are replaced. Narrow: no shuffle.
     """
     rows = canonical.select("entry_id", "name", "aliases").limit(MAX_NAMES + 1).collect()
     shared = df.sparkSession.sparkContext.broadcast([(r[0], r[1], list(r[2] or ())) for r in rows])
-    keep = [c for c in df.columns if c not in (out, "match")]
+    name = uuid.uuid4().hex
+    new_columns = [out, "match", *([stage] if stage else [])]
+    keep = [c for c in df.columns if c not in new_columns]
     data = df.select(*keep, F.col(column).cast("string").alias("__typed"))
-    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out, T.StringType()), T.StructField("match", T.StringType())])
+    schema = T.StructType([*df.select(*keep).schema.fields, *(T.StructField(c, T.StringType()) for c in new_columns)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = NameIndex.build(shared.value)
-        known: dict[str, tuple[str | None, str]] = {}
+        index = _index(name, shared.value)
+        known: dict[str | None, tuple[str | None, str, str]] = {}
         for batch in slices(batches):
             coded = batch.column(batch.num_columns - 1).dictionary_encode()
             values = coded.dictionary.to_pylist()
             if len(known) > 200_000:  # a cache of finished values, kept small
                 known = {}
-            new = [v for v in values if v not in known and v not in index.literal]
+            new = [v for v in values if v not in known]
             forms = simplified(new)
             for v, s, one in zip(new, forms, _single(new)):
-                if not s:
-                    known[v] = (None, "blank")
+                if v in index.literal:
+                    known[v] = (index.forms[solid(s)], "name", "name")
+                elif not s:
+                    known[v] = (None, "blank", "blank")
                 elif not one:
-                    known[v] = (None, "several")
+                    known[v] = (None, "several", "several")
                 else:
-                    e = index.resolve(_unwrapped(s) or s)
-                    known[v] = (e, "mapped" if e else "none")
-            done = [(index.forms[solid(simplified([v])[0])], "name") if v in index.literal else known[v] for v in values]
-            entry = pa.array([e for e, _ in done], pa.string()).take(coded.indices)
-            how = pa.array([m for _, m in done], pa.string()).take(coded.indices).fill_null("blank")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], entry, how], names=[*keep, out, "match"])
+                    e, by = index.staged(_unwrapped(s) or s)
+                    known[v] = (e, "mapped" if e else "none", by)
+            entry, how, by = (pa.array([known[v][i] for v in values], pa.string()).take(coded.indices) for i in range(3))
+            found = [entry, how.fill_null("blank"), *([by.fill_null("blank")] if stage else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], names=[*keep, *new_columns])
 
     return data.mapInArrow(work, schema)

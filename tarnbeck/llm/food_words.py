@@ -15,10 +15,11 @@ BEFORE = (
     r"\w{1,4}牌(?=\S)",
     r"(?:散装|袋装|盒装|瓶装|罐装|进口|国产|网购|自制|农家|超市买的|市场买的|大包装|小包装|产地直供|现做|家庭装|特价|新品)",
     r"(?:样品|试样|检样|留样|送检|复检|名称|品名)\s*[-:_.、#]?",
-    r"(?:各?一(?:份|袋|盒|瓶|包|罐|箱|斤|个)|\d+\s*(?:份|袋|盒|瓶|包|罐|箱|斤|个))",
+    r"(?:请|需|待|拟)(?:检验|检测|化验|抽检|复检|送检)(?:一下)?\s*[-:_.、#]?",
+    r"(?:各?[一两半整](?:大|小|整)?(?:份|袋|盒|瓶|包|罐|箱|斤|个)|\d+\s*(?:份|袋|盒|瓶|包|罐|箱|斤|个))",
 )
 QUANTITY = r"\d+(?:\.\d+)?\s*(?:kg|g|mg|ml|l|千克|公斤|克|毫升|升|斤|两|盒|袋|瓶|包|罐|箱|份|个|只|支|件|片装|粒装)"
-NOTE = r"(?:散装|袋装|盒装|瓶装|罐装|临期|已开封|未开封|开封|复检|样品|试样|留样|进口|国产|自制|\d+\s*号样?|第[一二三四五六七八九十\d]+批|各?一(?:份|袋|盒|瓶|包|罐|箱)|" + QUANTITY + ")"
+NOTE = r"(?:散装|袋装|盒装|瓶装|罐装|临期|已开封|未开封|开封|复检|样品|试样|留样|进口|国产|自制|\d+\s*号样?|第[一二三四五六七八九十\d]+批|各?[一两半整](?:大|小|整)?(?:份|袋|盒|瓶|包|罐|箱)|" + QUANTITY + ")"
 AFTER = (
     r"[!。.?;,、:~…]+",
     r"[-—_ ]*\(\s*" + NOTE + r"\s*\)",

@@ -31,6 +31,12 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.where("match = 'none'").groupBy("src", "value").agg(F.countDistinct("record_id").alias("n_records"))
 
 
+def p2_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records each stage decides: literal names, mentions by the automaton, token sets, slips, none."""
+    mapped = map_to_canonical(_typed_foods(spark, sf_dir), "value", table(spark, sf_dir, "canonical_food"), stage="stage")
+    return mapped.groupBy("src", "stage").agg(F.countDistinct("record_id").alias("n_records"))
+
+
 _SPLIT = (("content_block", "block_id", "text_raw"), ("chunk", "chunk_id", "retrieval_text"))
 
 
@@ -132,7 +138,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level >= 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p8_deviation, p8_invariants, p9_levels, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p2_stages, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p8_deviation, p8_invariants, p9_levels, p9_found)}
 
 ORACLE = {
     "p4_found": """

@@ -32,6 +32,20 @@ def test_arrangements_and_candidates_equal_brute_force():
         assert got == want, parts
 
 
+def test_mentions_embedded_in_requests_and_quantities():
+    index = NameIndex.build([*FOODS, ("e4", "MCT椰油粉", None)])
+    for s, e in (("一大包绿茶", "e3"), ("绿茶 整箱", "e3"), ("请检验 mct椰油粉", "e4"), ("两小袋豆腐", "e2"), ("请检验一下:豆腐", "e2"), ("一大包绿茶香精", ""), ("豆腐整箱包装袋", "")):
+        assert index.staged(s) == (e, "mention" if e else "none"), s
+
+
+def test_stages(spark):
+    canonical = spark.createDataFrame(FOODS, "entry_id string, name string, aliases array<string>")
+    values = ["豆腐", "散装豆腐", "蛋 番茄 盖饭 炒", "番茄炒蛋盖反", "石头", "豆腐、绿茶", None]
+    df = spark.createDataFrame([(v,) for v in values], "food string")
+    got = {r["food"]: r["stage"] for r in map_to_canonical(df, "food", canonical, stage="stage").collect()}
+    assert [got[v] for v in values] == ["name", "mention", "token set", "slip", "none", "several", "blank"]
+
+
 def test_rows(spark):
     canonical = spark.createDataFrame(FOODS, "entry_id string, name string, aliases array<string>")
     df = spark.createDataFrame([(1, "豆腐"), (2, "蛋 番茄 盖饭 炒"), (3, "石头"), (4, " ")], "id int, food string")
