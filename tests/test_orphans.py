@@ -65,3 +65,16 @@ def test_counts_and_empty(spark):
     assert broken_references(empty, r).count() == 3
     nothing = [Reference("r", "parent", r[0].rows.where(F.lit(False)), "id", "p")]
     assert broken_references(p, nothing).count() == 0
+
+
+def test_counts_by_month_equal_brute_force(spark):
+    rng = random.Random(8)
+    parents = [(f"k{i}", rng.choice([None, rng.randrange(90)]), rng.choice([None] * 6 + [5])) for i in range(60)]
+    refs = [(f"r{i}", rng.choice(["hot", "k1", f"k{rng.randrange(70)}"]), rng.choice([None, *range(90)])) for i in range(1500)]
+    refs += refs[:200]
+    at = {i: c for i, _, c in refs}
+    want = {}
+    for i, reason in brute(parents, refs):
+        key = (None if at[i] is None else day(at[i]).strftime("%Y-%m"), reason)
+        want[key] = want.get(key, 0) + 1
+    assert {(r["period"], r["reason"]): r["n_references"] for r in broken_counts(*frames(spark, parents, refs)).collect()} == want
