@@ -17,6 +17,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -322,3 +323,31 @@ def encode(df: DataFrame, column: str = "text", out: str = "ids", vocabulary: st
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], col], names=[*keep, out])
 
     return data.mapInArrow(work, schema)
+
+
+def decode(df: DataFrame, column: str = "ids", out: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``df`` without ``column`` and with the text that its token ids stand for in ``out``; null ids give null.
+
+    The bytes of the tokens are taken from the vocabulary as one Arrow array and cut at the rows' ends.
+    """
+    path = vocabulary or default_vocabulary()
+    tokens = sorted((int(b), base64.b64decode(a)) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x))
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    keep = [c for c in df.columns if c not in (out, column)]
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField(out, T.StringType())])
+    data = df.select(*keep, F.col(column).cast("array<int>").alias("__ids"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, words = zip(*shared.value)
+        table = pa.array(words, pa.large_binary())
+        at = np.full(max(numbers) + 1, -1, np.int64)
+        at[list(numbers)] = np.arange(len(numbers))
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            ends = np.cumsum(np.concatenate(([0], np.asarray(pc.fill_null(pc.list_value_length(ids), 0)))))
+            taken = table.take(pa.array(at[np.asarray(ids.flatten())]))
+            offsets = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+            texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets[ends].tobytes()), taken.buffers()[2] if len(taken) else pa.py_buffer(b""))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pc.if_else(ids.is_valid(), texts, None).cast(pa.string())], names=[*keep, out])
+
+    return data.mapInArrow(work, schema)

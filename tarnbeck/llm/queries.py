@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnbeck.llm.bpe import encode
+from tarnbeck.llm.bpe import decode, encode
 from tarnbeck.llm.canonical import map_to_canonical
 from tarnbeck.llm.mixing import Mixture, deviations, mix_documents
 from tarnbeck.llm.pieces import oversized, pieces
@@ -108,6 +108,11 @@ def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).rows
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document turned back into its text: length in bytes and hash."""
+    return decode(p7_ids(spark, sf_dir), "ids").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_hash"))
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source."""
     return _mixture(spark, sf_dir).shares
@@ -134,11 +139,23 @@ def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(spread(documents.select("doc_id", "text")), model).drop("text")
 
 
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors on each source, predicted without it: neither trees nor token difficulty nor the calibration saw it or copies of its texts."""
+    model = fit_reading_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+    return spark.createDataFrame([tuple(r.values()) for r in model.report] if model else [], "source string, n long, mean_abs_error double, within_half double")
+
+
+def p9_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source, how many documents have a level, all of them from 1 to 5."""
+    levels = p9_levels(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return levels.groupBy("source").agg(F.count("reading_level").alias("n_levels"), F.count_if(F.col("reading_level").isNull()).alias("n_without"), F.coalesce(F.bool_and(F.col("reading_score").between(1, 5)), F.lit(True)).alias("in_range"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_levels(spark, sf_dir).where("reading_level >= 4").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p2_stages, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p7_ids, p8_mixture, p8_shares, p8_deviation, p8_invariants, p9_levels, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p2_stages, p4_found, p4_pieces, p4_rejoined, p5_found, p5_groups, p7_ids, p7_decoded, p8_mixture, p8_shares, p8_deviation, p8_invariants, p9_levels, p9_report, p9_coverage, p9_found)}
 
 ORACLE = {
     "p4_found": """
@@ -150,6 +167,9 @@ where field_name = 'chunk.retrieval_text' and length(retrieval_text) > max_chars
 with t as (select distinct 'content_block' src, block_id item_id, text_raw t from content_block, piece_limits where field_name = 'content_block.text_raw' and length(text_raw) > max_chars
   union all select distinct 'chunk', chunk_id, retrieval_text from chunk, piece_limits where field_name = 'chunk.retrieval_text' and length(retrieval_text) > max_chars)
 select src, item_id, length(t)::bigint n_chars, sha256(t) text_hash, true within_limit, true overlap_shared from t where item_id is not null""",
+    "p7_decoded": "select doc_id, octet_length(encode(coalesce(text, '')))::bigint n_bytes, sha256(coalesce(text, '')) text_hash from documents",
+    "p9_coverage": r"""
+select source, count(*) filter (regexp_matches(text, '[^\s\p{Z}\p{Cf}]')) n_levels, count(*) filter (not coalesce(regexp_matches(text, '[^\s\p{Z}\p{Cf}]'), false)) n_without, true in_range from documents group by source""",
     "p8_invariants": """
 select source, true used_once, true within_block, true within_repeats from mix_targets
 where target_share > 0 and max_repeats > 0 and source in (select source from documents where text <> '')""",

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +27,8 @@ from tarnbeck.llm.unify_text import INVISIBLE, _points, _tables
 
 #: Labelled documents that a model is fitted on; a larger set is sampled by the hash of its ids.
 MAX_LABELLED = 12_000
-#: Tokens kept in the lexicon, by the number of labelled documents that hold them.
-MAX_LEXICON = 60_000
+#: Characters of text in that sample, as it is trained on in one process: documents are taken in the order of the hash as far as they fit.
+MAX_LABELLED_CHARS = 100_000_000
 
 # Words that tie sentences together.
 CONNECTIVES = "因此 此外 然而 但是 由于 其中 同时 因为 所以 另外 从而 而且 并且 however therefore because although moreover which that when".split()
@@ -230,7 +230,6 @@ class Lexicon:
         key, count, total = _summed([s[0] for s in stats], [s[1] for s in stats], [s[2] for s in stats])
         value = (total + prior * centre) / (count + prior)
         keep = np.flatnonzero(count >= least)
-        keep = keep[np.argsort(-count[keep], kind="stable")][:MAX_LEXICON]
         return cls(key[keep], value[keep], centre)
 
     def difficulty(self, keys: np.ndarray) -> np.ndarray:
@@ -419,16 +418,18 @@ def train(texts: list[str], level: np.ndarray, source: list[str | None], folds:
     return ReadingModel(lexicons[None, None], Boosted().fit(x[None], level), isotonic(held, level), report)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+def labelled(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, chars: int = MAX_LABELLED_CHARS) -> DataFrame:
     """(doc_id, text, source, level): documents with the mean of their readers' levels; at most ``limit``, by hash of the id.
 
-    The sample is drawn from the labels alone and broadcast (``limit`` rows), so no text is
-    shuffled; labels of blank or unknown documents drop out after it.
+    The sample is drawn from the labels alone and broadcast (``limit`` rows), so only the sample's texts are
+    shuffled; labels of blank or unknown documents drop out after it, and so do texts that do not fit into ``chars`` characters in all.
     """
     mean = labels.where("doc_id is not null and reading_level is not null").groupBy("doc_id", "reader").agg(F.avg("reading_level").alias("r")).groupBy("doc_id").agg(F.avg("r").alias("level"))
     chosen = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     docs = documents.select("doc_id", "text", "source").where(F.trim(F.regexp_replace("text", r"(?U)\s+", "")) != "")
-    return docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample only
+    return sample.withColumn("__chars", so_far).where(F.col("__chars") <= chars).drop("__chars")
 
 
 def fit_reading_model(documents: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> ReadingModel | None:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 P = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
-from tarnbeck.llm.bpe import Encoder, default_vocabulary, encode  # noqa: E402
+from tarnbeck.llm.bpe import Encoder, decode, default_vocabulary, encode  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +59,11 @@ def test_frame(spark, library):
     assert library.decode(got[4]) == rows[4][1]
     assert {r["doc_id"]: r["n"] for r in encode(df, "text", "n", count_only=True).collect()} == {k: len(v) for k, v in got.items()}
     assert encode(df.limit(0), "text").count() == 0
+
+
+def test_decode_gives_the_text_back(spark):
+    texts = ["苹果 juice\n\t🙂", "", "a" * 5000, "é𩽾　x", "苹果 juice\n\t🙂"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    assert {r["id"]: r["text"] for r in decode(encode(df)).collect()} == dict(enumerate(texts))
+    odd = spark.createDataFrame([(1, None), (2, [])], "id int, ids array<int>")
+    assert {r["id"]: r["text"] for r in decode(odd).collect()} == {1: None, 2: ""} and decode(odd.limit(0)).count() == 0

@@ -79,3 +79,13 @@ def test_left_out_sources_tell_nothing(copies):
             sources.append(f"s{j if copies else i}")
     report = train(texts, np.array(y), sources).report
     assert np.average([r["mean_abs_error"] for r in report], weights=[r["n"] for r in report]) > 0.9
+
+
+def test_the_sample_is_bounded_in_rows_and_characters(frames):
+    docs, labels, rows = frames
+    from tarnbeck.llm.reading import labelled
+
+    whole = labelled(docs, labels).collect()
+    part = labelled(docs, labels, chars=sum(len(r["text"]) for r in whole) // 2).collect()
+    assert 0 < len(part) < len(whole) and sum(len(r["text"]) for r in part) <= sum(len(r["text"]) for r in whole) // 2
+    assert labelled(docs, labels, limit=5).count() <= 5
