@@ -6,6 +6,7 @@ batch, and only for values that are not plain ASCII.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -111,6 +112,32 @@ def tokens(c: Column | str, query: bool = False, normalised: bool = False) -> Co
     return F.array_sort(F.array_distinct(F.concat(*out)))
 
 
+def symbols(c: Column | str) -> Column:
+    """Index terms (s:) of the characters that are neither Chinese nor letters, digits or underscores, each once."""
+    found = F.array_distinct(F.regexp_extract_all(_c(c), F.lit(f"[^{HAN}A-Za-z0-9_]"), F.lit(0)))
+    return F.transform(found, lambda x: F.concat(F.lit("s:"), x))
+
+
+_HAN_RUN = re.compile("[㐀-䶿一-鿿\U00020000-\U0002ffff]+")
+_WORD_RUN = re.compile(WORD)
+# What Unicode counts as white space.
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def search_form_of(phrase: str) -> str:
+    """:func:`search_form` of one phrase, without a job."""
+    return _WHITE.sub("", unicodedata.normalize("NFKC", phrase).translate(str.maketrans(DASHES, "-" * len(DASHES))))
+
+
+def phrase_terms(form: str) -> list[str]:
+    """The query side's :func:`tokens` of a phrase, without a job; its :func:`symbols` if it has none."""
+    out = set()
+    for runs, single, pair in ((_HAN_RUN.findall(form), "c:", "g:"), (_WORD_RUN.findall(form), "a:", "b:")):
+        for run in runs:
+            out.update([single + run] if len(run) == 1 else (pair + run[i : i + 2] for i in range(len(run) - 1)))
+    return sorted(out or {"s:" + c for c in form})
+
+
 def count_of(c: Column | str, phrase: Column | str) -> Column:
     """Non-overlapping occurrences of ``phrase``."""
     c, phrase = _c(c), _c(phrase)

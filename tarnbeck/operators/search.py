@@ -4,17 +4,28 @@ Phrase search finds candidates by the rarest index term of each phrase and then
 re-verifies the phrase itself, so an index term never decides. Phrases are a query
 set: up to ``BROADCAST_PHRASES`` of them are broadcast (counted first), more are
 joined by shuffle on the term.
+
+:func:`build_index` writes the postings once, in order of the term, and
+:func:`search_index` answers one phrase or many from them: it looks up how often the
+phrases' terms occur, reads the postings of one term for each phrase, and only the
+parts of the texts that hold candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnbeck.functions.text import EXACT_NAME_BONUS, FIELD_WEIGHTS, OTHER_WEIGHT, search_form, tokens
+from tarnbeck.functions.text import EXACT_NAME_BONUS, FIELD_WEIGHTS, OTHER_WEIGHT, phrase_terms, search_form, search_form_of, symbols, tokens
 
 MODES = ("literal_raw", "normalized_phrase", "zh_ngram_phrase")
 BROADCAST_PHRASES = 50_000
+#: Candidates (known from the term counts) up to which they are broadcast to the texts' parts; more are joined by shuffle.
+BROADCAST_CANDIDATES = 500_000
+#: The form of a text that each mode compares, and the folder of its index.
+FORM = {"literal_raw": "raw", "normalized_phrase": "search", "zh_ngram_phrase": "search"}
+KEYS = ["record_id", "field", "ord"]
 MAX_VALUES, MAX_PAGE, MAX_PHRASE = 100, 1000, 256
 
 
@@ -90,8 +101,8 @@ def postings(texts: DataFrame) -> DataFrame:
 
 
 def write_postings(index: DataFrame, path: str, partitions: int = 200) -> None:
-    """The index sorted by token, so that a look-up reads the few files whose range holds it."""
-    index.repartitionByRange(partitions, "token").sortWithinPartitions("token").write.parquet(path)
+    """The index sorted by token and id, so that a look-up reads the few files whose range holds the token; a frequent one is in several files."""
+    index.repartitionByRange(partitions, "token", "record_id").sortWithinPartitions("token", "record_id").write.parquet(path)
 
 
 def candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -112,19 +123,18 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, mode: str = "zh_ngram_p
     literal_raw compares as stored; the other modes compare search forms. kind is
     ``exact_name`` (a name or project equal to the phrase), ``related_name`` or
     ``phrase_evidence``. Null and blank phrases match nothing. form and want are the
-    compared texts. Phrases without index terms (punctuation) are compared with every text.
+    compared texts. Phrases without letters, digits or Chinese characters go by their symbols.
     """
-    if mode not in MODES:
-        raise QueryError("QUERY_MODE", mode)
-    form = (lambda c: F.col(c)) if mode == "literal_raw" else search_form
+    form = _form(mode)
     asked = phrases.select("phrase_id", form("phrase").alias("want")).where("want is not null and trim(want) != ''").withColumn("terms", tokens("want", query=True, normalised=True))
-    held = texts.select("record_id", "field", "ord", form("text").alias("form")).where("form is not null and form != ''")
+    asked = asked.withColumn("terms", F.when(F.size("terms") > 0, F.col("terms")).otherwise(symbols("want")))
+    held = _held(texts, mode)
     small = asked.count() <= BROADCAST_PHRASES
     hint = F.broadcast if small else (lambda d: d)
     wanted = asked.select("phrase_id", F.explode("terms").alias("term"))
     # Few phrases: the text itself rides along to the broadcast. Many: only its key is shuffled by term, and the text meets it again.
-    ride = ["record_id", "field", "ord", *(["form"] if small else [])]
-    spread = held.select(*ride, F.explode(F.array_distinct(tokens("form", normalised=True))).alias("term"))
+    ride = [*KEYS, *(["form"] if small else [])]
+    spread = held.select(*ride, F.explode(F.concat(F.array_distinct(tokens("form", normalised=True)), symbols("form"))).alias("term"))
     often = spread.join(hint(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     rarest = (
         wanted.join(often, "term", "left")
@@ -134,15 +144,109 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, mode: str = "zh_ngram_p
     )
     found = spread.join(hint(rarest), "term").drop("term")
     if not small:
-        found = found.join(held, ["record_id", "field", "ord"])
-    found = found.where(F.contains("form", "want")).select("record_id", "field", "ord", "form", "phrase_id", "want")
-    bare = asked.where(F.size("terms") == 0).select("phrase_id", "want")
-    found = found.unionByName(held.join(hint(bare.distinct()), F.contains("form", "want")))
+        found = found.join(held, KEYS)
+    return _scored(found)
+
+
+def _form(mode: str):  # noqa: ANN202
+    if mode not in MODES:
+        raise QueryError("QUERY_MODE", mode)
+    return F.col if FORM[mode] == "raw" else search_form
+
+
+def _held(texts: DataFrame, mode: str) -> DataFrame:
+    return texts.select(*KEYS, _form(mode)("text").alias("form")).where("form is not null and form != ''")
+
+
+def _scored(found: DataFrame) -> DataFrame:
+    """Candidates whose text holds the phrase, with kind and score."""
+    found = found.where(F.contains("form", "want")).select(*KEYS, "form", "phrase_id", "want")
     named = F.col("field").isin("name", "project")
     kind = F.when(named & (F.col("form") == F.col("want")), "exact_name").when(named, "related_name").otherwise("phrase_evidence")
     return found.withColumn("kind", kind).withColumn("score", weight("field") + F.when(F.col("kind") == "exact_name", EXACT_NAME_BONUS).otherwise(0))
 
 
+# -- a prebuilt index -----------------------------------------------------------------------
+def build_index(texts: DataFrame, path: str, parts: int = 32, modes: tuple[str, ...] = MODES) -> None:
+    """Write the texts' forms, their postings and the terms' counts for ``modes`` below ``path``.
+
+    Texts are in ``parts`` folders by the hash of their id, so that a search reads those with candidates only. Postings
+    are in order of term and id, so a look-up skips all files and row groups whose range does not hold the
+    term, and a term that a third of the texts hold is spread over several files. What is written last marks the index as whole.
+    """
+    spark = texts.sparkSession
+    for form in sorted({FORM[m] for m in modes}):
+        mode = next(m for m in modes if FORM[m] == form)
+        at = f"{path}/{form}"
+        held = _held(texts, mode).withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(parts)).cast("int"))
+        held.repartition(parts, "part").sortWithinPartitions("part", *KEYS).write.partitionBy("part").parquet(f"{at}/texts")
+        held = spark.read.schema(held.schema).parquet(f"{at}/texts")
+        posts = held.select("part", *KEYS, F.explode(F.concat(F.array_distinct(tokens("form", normalised=True)), symbols("form"))).alias("token"))
+        write_postings(posts, f"{at}/postings", parts)
+        counts = spark.read.schema(posts.schema).parquet(f"{at}/postings").groupBy("token").agg(F.count("*").alias("n"))
+        counts.repartitionByRange(max(1, parts // 8), "token").sortWithinPartitions("token").write.parquet(f"{at}/terms")
+        held.agg(F.count("*").alias("n_texts"), *(F.max(c).alias(c) for c in KEYS)).write.parquet(f"{at}/ready")  # one row, which also tells the keys' types
+
+
+def _read_index(spark: SparkSession, path: str, mode: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts, postings and terms' counts; an index of no texts has no files to tell their columns."""
+    at = f"{path}/{FORM[mode]}"
+    types = dict(spark.read.parquet(f"{at}/ready").dtypes)
+    keys = ", ".join(f"{c} {types[c]}" for c in KEYS)
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{at}/{name}")
+    return read("texts", f"{keys}, form string, part int"), read("postings", f"part int, {keys}, token string"), read("terms", "token string, n bigint")
+
+
+def index_health(spark: SparkSession, path: str, mode: str) -> str:
+    """``ready``, or ``missing`` where no whole index of the mode's form is there."""
+    _form(mode)
+    try:
+        _read_index(spark, path, mode)
+    except AnalysisException:
+        return "missing"
+    return "ready"
+
+
+def search_index(spark: SparkSession, path: str, phrases: DataFrame | dict[str, str], mode: str = "zh_ngram_phrase") -> DataFrame:
+    """:func:`phrase_matches` by the index at ``path``. phrases: phrase_id and phrase, as a frame or a dictionary."""
+    form = _form(mode)
+    texts, posts, counts = _read_index(spark, path, mode)
+    if isinstance(phrases, DataFrame):
+        rows = phrases.select("phrase_id", "phrase").limit(BROADCAST_PHRASES + 1).collect()
+        if len(rows) > BROADCAST_PHRASES:  # too many to broadcast: all terms are wanted anyway
+            asked = phrases.select("phrase_id", form("phrase").alias("phrase"))
+            return phrase_matches(texts.select(*KEYS, F.col("form").alias("text")), asked, "literal_raw")
+        phrases = {r[0]: r[1] for r in rows}
+    wants = {k: (v if FORM[mode] == "raw" else search_form_of(v)) for k, v in phrases.items() if v is not None}
+    terms = {k: phrase_terms(w) for k, w in wants.items() if w.strip(" ")}
+    every = sorted({t for ts in terms.values() for t in ts})
+    counts = counts.where(F.col("token").isin(every)) if len(every) <= 1000 else counts.join(F.broadcast(spark.createDataFrame([(t,) for t in every], "token string")), "token")
+    often = dict(tuple(r) for r in counts.collect()) if every else {}
+    rarest = [(k, wants[k], min(ts, key=lambda t: (often[t], t))) for k, ts in terms.items() if all(t in often for t in ts)]
+    total = sum(often[t] for _, _, t in rarest)
+    kind = phrases and type(next(iter(phrases)))
+    asked = spark.createDataFrame(rarest, f"phrase_id {'bigint' if kind is int else 'string'}, want string, token string")
+    if len(rarest) <= 1000:
+        posts = posts.where(F.col("token").isin(sorted({t for _, _, t in rarest})))
+    found = posts.join(F.broadcast(asked), "token").drop("token")
+    return _scored(texts.join(F.broadcast(found) if total <= BROADCAST_CANDIDATES else found, ["part", *KEYS]))
+
+
+def index_report(spark: SparkSession, path: str, phrases: DataFrame, mode: str = "zh_ngram_phrase", texts: DataFrame | None = None) -> DataFrame:
+    """(phrase_id, status, total_count): the states of a search by an index that may be missing.
+
+    ``success`` or ``empty`` by the index; ``degraded`` where it is missing and ``texts`` were searched through instead;
+    ``failed``, with no count, where there are no texts either.
+    """
+    ready = index_health(spark, path, mode) == "ready"
+    if not ready and texts is None:
+        return phrases.select("phrase_id", F.lit("failed").alias("status"), F.lit(None).cast("long").alias("total_count"))
+    hits = phrase_hits(search_index(spark, path, phrases, mode) if ready else phrase_matches(texts, phrases, mode))
+    out = phrases.select("phrase_id").join(hits.groupBy("phrase_id").agg(F.count("*").alias("n")), "phrase_id", "left").select("phrase_id", F.coalesce("n", F.lit(0)).alias("total_count"))
+    status = F.when(F.col("total_count") > 0, "success").otherwise("empty") if ready else F.lit("degraded")
+    return out.select("phrase_id", status.alias("status"), "total_count")
+
+
 def weight(field: str) -> Column:
     pairs = [x for k, v in FIELD_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(field)), F.lit(OTHER_WEIGHT))

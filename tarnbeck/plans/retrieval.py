@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnbeck.functions import text as tx
 from tarnbeck.operators import evaluation, ranking, search
-from tarnbeck.session import table
+from tarnbeck.session import scratch_dir, table
 
 FILTERS = {"lang": ["zh", "en"], "source": ["standard_clause", "guide_section", "lab_note"], "designation": ["FS 1000-2018", "FS 1172-2016", "SQ 3017-2021"]}
 KEYS = {"lang", "source", "designation"}
@@ -53,6 +55,68 @@ def index_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(d).groupBy("token").agg(F.count("*").alias("n_records"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> str:
+    """The index of the chunks' texts in the shared folder, written once by a program for each folder of tables."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        path = scratch_dir(spark, "phrases")
+        search.build_index(_chunks(spark, sf_dir), path, parts=max(8, min(4096, spark.sparkContext.defaultParallelism)))
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _index_hits(spark: SparkSession, sf_dir: str, mode: str, phrases: DataFrame | dict[str, str]) -> DataFrame:
+    hits = search.phrase_hits(search.search_index(spark, chunk_index(spark, sf_dir), phrases, mode))
+    return hits.select("phrase_id", "record_id", F.col("score").cast("long").alias("score"))
+
+
+def index_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every canonical name against every chunk, as stored, by the index."""
+    return _index_hits(spark, sf_dir, "literal_raw", _phrases(spark, sf_dir))
+
+
+def index_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index_hits(spark, sf_dir, "normalized_phrase", _phrases(spark, sf_dir))
+
+
+def index_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index_hits(spark, sf_dir, "zh_ngram_phrase", _phrases(spark, sf_dir))
+
+
+_PHRASE = "微生物限量"
+
+
+def phrase_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One phrase against every chunk, as stored, by the index."""
+    return _index_hits(spark, sf_dir, "literal_raw", {"one": _PHRASE})
+
+
+def phrase_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index_hits(spark, sf_dir, "normalized_phrase", {"one": _PHRASE})
+
+
+def phrase_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index_hits(spark, sf_dir, "zh_ngram_phrase", {"one": _PHRASE})
+
+
+def index_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of searches for names: by the index, without it, and without index or texts."""
+    asked, gone = _phrases(spark, sf_dir), chunk_index(spark, sf_dir) + "/none"
+    parts = {
+        "index": search.index_report(spark, chunk_index(spark, sf_dir), asked, "literal_raw"),
+        "scan": search.index_report(spark, gone, asked, "literal_raw", _chunks(spark, sf_dir)),
+        "nothing": search.index_report(spark, gone, asked, "literal_raw"),
+    }
+    out = None
+    for name, part in parts.items():
+        counted = part.groupBy("status").agg(F.count("*").alias("n"), F.sum("total_count").alias("n_hits")).select(F.lit(name).alias("searched"), "status", "n", "n_hits")
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
 def lexical_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every canonical name against every chunk, as stored."""
     hits = search.phrase_hits(search.phrase_matches(_chunks(spark, sf_dir), _phrases(spark, sf_dir), "literal_raw"))
@@ -138,11 +202,23 @@ def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_filter, filter_verdicts, metadata_unknown_counts, catalog_filter, index_tokens, lexical_literal, lexical_names, lexical_normalised, posting_candidates,
+        exact_filter, filter_verdicts, metadata_unknown_counts, catalog_filter, index_tokens, index_literal, index_normalised, index_ngram, phrase_literal, phrase_normalised, phrase_ngram, index_states, lexical_literal, lexical_names, lexical_normalised, posting_candidates,
         search_page, search_status, phrase_spans, ir_evaluation, topk_per_namespace, candidate_scores, decision_status, history_page,
     )
 }
 
+def _compatible(sql: str) -> str:
+    """SQL of the search form: compatibility characters by the Unicode tables, composed, one dash, no white space."""
+    folded = {chr(c): unicodedata.normalize("NFKC", chr(c)) for lo, hi in ((0xA0, 0xD800), (0xF900, 0xFFF0)) for c in range(lo, hi)}
+    one = {a: b for a, b in folded.items() if len(b) == 1 and a != b and unicodedata.normalize("NFC", a) != b}
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    out = f"translate({sql}, {quoted(''.join(one))}, {quoted(''.join(one.values()))})"
+    for a in [chr(c) for c in range(0x3380, 0x33E0)] + ["…", "℃", "½", "¼", "¾", "ﬁ", "ﬂ", "№", "‰"]:
+        if len(folded[a]) > 1:
+            out = f"replace({out}, '{a}', {quoted(folded[a])})"
+    return f"regexp_replace(translate(nfc_normalize({out}), '{tx.DASHES}', '{'-' * len(tx.DASHES)}'), '[\\s\\x0b\\x85\\x{{1680}}\\x{{2028}}\\x{{2029}}\\x{{3000}}]', '', 'g')"
+
+
 _HAN = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{20000}-\x{2ffff}"
 _TOKENS = rf"""
   form as (select distinct doc_id, translate(regexp_replace(title, '\s', '', 'g'), '‐‑‒–—−﹘﹣－', '---------') t from documents where title is not null),
@@ -174,6 +250,16 @@ union all select 'designation', count(*) from v where lo and so and g = '' havin
     union select doc_id, 'w:' || p from word union select doc_id, 'a:' || unnest(string_split(p, '')) from word union select doc_id, 'b:' || substr(p, i, 2) from word, range(1, 200) r(i) where i < length(p))
 select k as token, count(*) n_records from tok where length(k) > 2 group by k""",
     "lexical_literal": f"with {_CHUNKS} select entry_id phrase_id, chunk_id record_id, 20::bigint score from chunks join canonical_food on contains(t, name)",
+    "index_literal": f"with {_CHUNKS} select entry_id phrase_id, chunk_id record_id, 20::bigint score from chunks join canonical_food on contains(t, name)",
+    **{
+        k: f"with {_CHUNKS}, c as (select chunk_id, {_compatible('t')} f from chunks), n as (select entry_id, {_compatible('name')} w from canonical_food) select entry_id phrase_id, chunk_id record_id, 20::bigint score from c join n on contains(f, w)"
+        for k in ("lexical_normalised", "index_normalised", "index_ngram")
+    },
+    "phrase_literal": f"with {_CHUNKS} select 'one' phrase_id, chunk_id record_id, 20::bigint score from chunks where contains(t, '{_PHRASE}')",
+    **{k: f"with {_CHUNKS} select 'one' phrase_id, chunk_id record_id, 20::bigint score from chunks where contains({_compatible('t')}, '{_PHRASE}')" for k in ("phrase_normalised", "phrase_ngram")},
+    "index_states": f"""with {_CHUNKS}, h as (select entry_id, count(chunk_id) n from canonical_food left join chunks on contains(t, name) group by entry_id)
+select 'index' searched, case when n > 0 then 'success' else 'empty' end status, count(*) n, sum(n)::bigint n_hits from h group by 2
+union all select 'scan', 'degraded', count(*), sum(n)::bigint from h union all select 'nothing', 'failed', count(*), null from h""",
     "lexical_names": f"""with {_NAMES} select entry_id phrase_id, id record_id, case when n.name = c.name then 'exact_name' else 'related_name' end kind,
       (case when n.name = c.name then 1100 else 100 end)::bigint score from names n join canonical_food c on contains(n.name, c.name)""",
     "posting_candidates": f"""with {_TOKENS},

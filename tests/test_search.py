@@ -1,6 +1,9 @@
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tarnbeck.functions import text as tx
 from tarnbeck.operators import evaluation, search
 from tarnbeck.operators.search import QueryError
 
@@ -137,3 +140,41 @@ def test_phrase_in_a_long_word(spark, mode):
     assert found(search.phrase_matches(texts, phrases(spark, "QZ7", "xQ", "号x"), mode)) == {"QZ7": {"long", "short"}, "xQ": {"long"}, "号x": {"long"}}
     terms = {r["token"] for r in search.postings(texts.where("record_id = 'long'")).collect()}
     assert "b:QZ" in terms and "a:7" in terms and not any(t.startswith("w:") for t in terms)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="苹果汁aB1_./- 　－①ｇéア、。𩽾\u0301", max_size=12), min_size=20, max_size=40))
+def test_terms_of_a_phrase_without_a_job(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", tx.search_form("t").alias("form"), tx.tokens("t", query=True).alias("terms"), tx.symbols(tx.search_form("t")).alias("symbols")).collect()
+    for r in rows:
+        assert tx.search_form_of(r["t"]) == r["form"]
+        assert tx.phrase_terms(r["form"]) == (list(r["terms"]) or sorted(set(r["symbols"])))
+
+
+@pytest.mark.parametrize("mode", search.MODES)
+def test_index_equals_search_without_one(spark, tmp_path, monkeypatch, mode):
+    texts = [("a", "body", 0, "单项依据GB1886.1-2020判定，-18 °C。"), ("b", "title", 1, "x/y_z 12"), ("c", "body", 0, None), ("d", "name", 0, "，。、"), ("e", "name", 0, "アイス苹果"), ("e", "body", 1, "苹果，苹果"), ("f", "body", 0, "")]
+    corpus = spark.createDataFrame(texts, TEXTS)
+    search.build_index(corpus, str(tmp_path / "i"), parts=3, modes=(mode,))
+    wanted = {t[i:j] for *_, t in texts if t for i in range(len(t)) for j in range(i + 1, min(len(t), i + 5) + 1)} | {"没有", "", " ", "アz"}
+    asked = phrases(spark, *sorted(wanted)).unionByName(spark.createDataFrame([("n", None)], "phrase_id string, phrase string"))
+    want = sorted(map(tuple, search.phrase_matches(corpus, asked, mode).select("phrase_id", "record_id", "field", "ord", "kind", "score").collect()))
+    cells = ("phrase_id", "record_id", "field", "ord", "kind", "score")
+    assert sorted(map(tuple, search.search_index(spark, str(tmp_path / "i"), asked, mode).select(*cells).collect())) == want and len(want) > 100
+    monkeypatch.setattr(search, "BROADCAST_PHRASES", 5)
+    monkeypatch.setattr(search, "BROADCAST_CANDIDATES", 5)
+    assert sorted(map(tuple, search.search_index(spark, str(tmp_path / "i"), asked, mode).select(*cells).collect())) == want
+    assert {r["record_id"] for r in search.search_index(spark, str(tmp_path / "i"), {7: "苹果"}, mode).collect()} == {"e"}
+    assert search.search_index(spark, str(tmp_path / "i"), {}, mode).count() == search.search_index(spark, str(tmp_path / "i"), {"x": None}, mode).count() == 0
+
+
+def test_index_of_no_texts_and_states(spark, corpus, tmp_path):
+    search.build_index(corpus.limit(0), str(tmp_path / "none"), parts=2)
+    asked = phrases(spark, "苹果", "未知短语")
+    assert search.search_index(spark, str(tmp_path / "none"), asked).count() == 0
+    search.build_index(corpus, str(tmp_path / "i"), parts=2)
+    states = lambda df: {r["phrase_id"]: (r["status"], r["total_count"]) for r in df.collect()}
+    assert states(search.index_report(spark, str(tmp_path / "i"), asked)) == {"苹果": ("success", 3), "未知短语": ("empty", 0)}
+    assert states(search.index_report(spark, str(tmp_path / "x"), asked, texts=corpus)) == {"苹果": ("degraded", 3), "未知短语": ("degraded", 0)}
+    assert states(search.index_report(spark, str(tmp_path / "x"), asked)) == {"苹果": ("failed", None), "未知短语": ("failed", None)}
