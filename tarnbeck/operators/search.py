@@ -13,6 +13,7 @@ parts of the texts that hold candidates.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -134,7 +135,7 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, mode: str = "zh_ngram_p
     wanted = asked.select("phrase_id", F.explode("terms").alias("term"))
     # Few phrases: the text itself rides along to the broadcast. Many: only its key is shuffled by term, and the text meets it again.
     ride = [*KEYS, *(["form"] if small else [])]
-    spread = held.select(*ride, F.explode(F.concat(F.array_distinct(tokens("form", normalised=True)), symbols("form"))).alias("term"))
+    spread = held.select(*ride, F.explode(F.concat(tokens("form", normalised=True), symbols("form"))).alias("term"))
     often = spread.join(hint(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     rarest = (
         wanted.join(often, "term", "left")
@@ -181,7 +182,7 @@ def build_index(texts: DataFrame, path: str, parts: int = 32, modes: tuple[str,
         held = _held(texts, mode).withColumn("part", F.pmod(F.xxhash64("record_id"), F.lit(parts)).cast("int"))
         held.repartition(parts, "part").sortWithinPartitions("part", *KEYS).write.partitionBy("part").parquet(f"{at}/texts")
         held = spark.read.schema(held.schema).parquet(f"{at}/texts")
-        posts = held.select("part", *KEYS, F.explode(F.concat(F.array_distinct(tokens("form", normalised=True)), symbols("form"))).alias("token"))
+        posts = held.select("part", *KEYS, F.explode(F.concat(tokens("form", normalised=True), symbols("form"))).alias("token"))
         write_postings(posts, f"{at}/postings", parts)
         counts = spark.read.schema(posts.schema).parquet(f"{at}/postings").groupBy("token").agg(F.count("*").alias("n"))
         counts.repartitionByRange(max(1, parts // 8), "token").sortWithinPartitions("token").write.parquet(f"{at}/terms")
@@ -220,12 +221,13 @@ def search_index(spark: SparkSession, path: str, phrases: DataFrame | dict[str,
     wants = {k: (v if FORM[mode] == "raw" else search_form_of(v)) for k, v in phrases.items() if v is not None}
     terms = {k: phrase_terms(w) for k, w in wants.items() if w.strip(" ")}
     every = sorted({t for ts in terms.values() for t in ts})
-    counts = counts.where(F.col("token").isin(every)) if len(every) <= 1000 else counts.join(F.broadcast(spark.createDataFrame([(t,) for t in every], "token string")), "token")
+    counts = counts.where(F.col("token").isin(every)) if len(every) <= 1000 else counts.join(F.broadcast(spark.createDataFrame(pa.table({"token": every}))), "token")
     often = dict(tuple(r) for r in counts.collect()) if every else {}
     rarest = [(k, wants[k], min(ts, key=lambda t: (often[t], t))) for k, ts in terms.items() if all(t in often for t in ts)]
     total = sum(often[t] for _, _, t in rarest)
-    kind = phrases and type(next(iter(phrases)))
-    asked = spark.createDataFrame(rarest, f"phrase_id {'bigint' if kind is int else 'string'}, want string, token string")
+    ids = pa.int64() if any(isinstance(k, int) for k in phrases) else pa.string()
+    columns = zip(*rarest) if rarest else ((), (), ())
+    asked = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, (ids, pa.string(), pa.string()))], names=["phrase_id", "want", "token"]))  # a local relation: no job
     if len(rarest) <= 1000:
         posts = posts.where(F.col("token").isin(sorted({t for _, _, t in rarest})))
     found = posts.join(F.broadcast(asked), "token").drop("token")
