@@ -70,6 +70,21 @@ def standard_form(c: Column | str) -> Column:
     return F.when(s.rlike(STANDARD), F.concat(prefix, F.regexp_extract(s, STANDARD, 2))).otherwise(s)
 
 
+# Filter keys that hold a standard's number, and those that hold an identity.
+STANDARD_KEYS = ("designation", "family", "method_standard", "judgment_standard")
+IDENTITY_KEYS = ("record_id", "version_id", "node_id", "project_id", "review_state", "namespace", "record_type")
+
+
+def filter_form(key: str, c: Column | str) -> Column:
+    """The form in which values of a filter key are compared: a standard's number in one spelling, identities in NFKC without blanks around
+    them, a year of four digits (else null), anything else as :func:`search_form`. Null and blank values are null."""
+    c = _c(c).cast("string")
+    form = standard_form(c) if key in STANDARD_KEYS else F.trim(nfkc(c)) if key in IDENTITY_KEYS else search_form(c)
+    if key == "year":
+        form = F.when(form.rlike(r"^\d{4}$"), form)
+    return F.when(squeeze(c) != "", form)
+
+
 def family_of(c: Column | str) -> Column:
     """A standard's number without its year."""
     return F.regexp_replace(F.trim(_c(c)), r"\s*[-—–]\s*\d{4}$", "")
@@ -205,6 +220,12 @@ def quality_flags(c: Column | str) -> Column:
     return F.array_compact(flags)
 
 
+def review_flags(c: Column | str) -> Column:
+    """Array of what a reader should look at: formulas, comparisons, units and percentages, which extraction garbles easily."""
+    marks = r"[<>=≤≥±×÷∑√^²³₀-₉]|(?<![\p{L}\p{N}_])(?:mg|kg|g|mL|L|mmol|CFU)\s*[/·]|\p{Nd}\s*%"
+    return F.array_compact(F.array(F.when(_c(c).rlike(marks), F.lit("formula_comparison_unit_review"))))
+
+
 def names_of(c: Column | str) -> Column:
     """Search keys of a listed name: the name, and the parts before and inside its brackets."""
     c = clean(c)
@@ -220,6 +241,15 @@ def food_terms(c: Column | str, prefixes: str = "新鲜|生鲜|鲜食|冷冻|冰
     return F.array_distinct(F.concat(parts, bare))
 
 
+def query_terms(c: Column | str, aliases: dict[str, str], prefixes: str = "新鲜|生鲜|鲜食|冷冻|冰鲜|鲜|生") -> Column:
+    """What a typed value is looked up as: its match form, that without a leading state word, and the alias of either, each once."""
+    form = match_form(c)
+    bare = F.regexp_replace(form, f"^(?:{prefixes})(?=.{{2,}})", "")
+    names = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)) if aliases else F.create_map().cast("map<string,string>")
+    terms = F.array(form, bare)
+    return F.array_distinct(F.array_compact(F.concat(terms, F.transform(terms, lambda t: F.try_element_at(names, t)))))
+
+
 def without_folios(c: Column | str) -> Column:
     """Without lines that hold only a page number."""
     return F.regexp_replace(_c(c), r"(?m)^[ \t]*\d+[ \t]*(?:\n|\z)", "")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tarnbeck.session import materialize
+
 #: What may become of a row; the last five are problems.
 OUTCOMES = ("success", "duplicate", "quarantined", "source_missing", "identity_conflict", "unrecognized", "failed")
 
@@ -45,19 +49,26 @@ def retry(done: DataFrame, again: DataFrame, keys: list[str], status: str, good:
     return kept.unionByName(fresh.select(*done.columns)).unionByName(open_.join(fresh.select(*keys), keys, "left_anti").select(*done.columns))
 
 
-def nested_strings(df: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
-    """(key, pointer, value): all strings within JSON texts, with the pointer to each, down to ``depth`` levels.
+def nested_strings(df: DataFrame, key: str, json: str, depth: int | None = None) -> DataFrame:
+    """(key, pointer, value): all strings within JSON texts, with the pointer to each, down to ``depth`` levels, or to the last.
 
-    Text that is no JSON gives none. Level by level: a node is taken apart once.
+    Text that is no JSON gives none. Level by level: a node is taken apart once. Without ``depth`` each level is written
+    out, until one holds nothing more to take apart.
     """
     spark = df.sparkSession
     level = df.select(key, F.lit("").alias("pointer"), F.try_parse_json(json).alias("v")).where("v is not null")
     out = None
-    for _ in range(depth + 1):
+    for n in count():
         kind = F.schema_of_variant("v")
         found = level.where(kind == "STRING").select(key, "pointer", F.try_variant_get("v", "$", "string").alias("value"))
         out = found if out is None else out.unionByName(found)
+        if n == depth:
+            return out
         inner = level.where(kind.startswith("ARRAY") | kind.startswith("OBJECT"))
         parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key").alias("__k"), F.col("value").alias("__v")))
         level = parts.select(key, F.concat("pointer", F.lit("/"), F.coalesce("__k", F.col("pos").cast("string"))).alias("pointer"), F.col("__v").alias("v"))
-    return out
+        if depth is None:
+            seen = Observation()
+            level = materialize(level.observe(seen, F.count("*").alias("n")), "level")
+            if not seen.get["n"]:
+                return out

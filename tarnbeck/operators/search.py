@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnbeck.functions.text import EXACT_NAME_BONUS, FIELD_WEIGHTS, OTHER_WEIGHT, phrase_terms, search_form, search_form_of, symbols, tokens
+from tarnbeck.functions.text import EXACT_NAME_BONUS, FIELD_WEIGHTS, OTHER_WEIGHT, filter_form, phrase_terms, search_form, search_form_of, symbols, tokens
 
 MODES = ("literal_raw", "normalized_phrase", "zh_ngram_phrase")
 BROADCAST_PHRASES = 50_000
@@ -81,6 +81,21 @@ def filter_verdict(df: DataFrame, filters: dict[str, list], columns: dict[str, s
     return df.select("*", ok.alias("filter_ok"), missing.alias("filter_missing"))
 
 
+def exact_search_forms(df: DataFrame, filters: dict[str, list], columns: dict[str, str] | None = None) -> DataFrame:
+    """:func:`exact_search` in the form of each key (:func:`tarnbeck.functions.text.filter_form`), so that values spelled differently meet.
+
+    Filter values without a form (blank ones, a year that is none) are an error.
+    """
+    out = df
+    for key, wanted in filters.items():
+        values = df.sparkSession.createDataFrame([(str(v),) for v in wanted], "v string").select(filter_form(key, "v")).collect()  # at most MAX_VALUES
+        if any(r[0] is None for r in values):
+            raise QueryError("QUERY_FILTER", f"{key} has a value without a form")
+        name = (columns or {}).get(key, key)
+        out = out.where(filter_form(key, name).isin(sorted({r[0] for r in values})))
+    return out
+
+
 def exact_search(df: DataFrame, filters: dict[str, list], columns: dict[str, str] | None = None) -> DataFrame:
     """Records that pass the filters (plain predicates, pushed to the scan where the columns are scalar)."""
     out = df

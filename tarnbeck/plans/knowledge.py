@@ -114,11 +114,6 @@ def impact_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("depth").agg(F.count("*").alias("n_nodes")).select(F.col("depth").cast("long").alias("depth"), "n_nodes")
 
 
-def bounded_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expansion of the categories with ord % 100 = 0, as its SQL has it; ``category_expansion`` has all of them."""
-    return _expansion(spark, sf_dir, _nodes(spark, sf_dir).where("kind = 'category' and ord % 100 = 0").select("id"))
-
-
 def category_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expansion of every category."""
     return _expansion(spark, sf_dir, _nodes(spark, sf_dir).where("kind = 'category'").select("id"))
@@ -385,7 +380,7 @@ def evidence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fact_fold, condition_states, condition_compiled, inherited_states, inherited_requirements, nearest_approved, shared_targets, prefix_descendants, impact_closure, bounded_expansion, category_expansion, broken_edges,
+        fact_fold, condition_states, condition_compiled, inherited_states, inherited_requirements, nearest_approved, shared_targets, prefix_descendants, impact_closure, category_expansion, broken_edges,
         version_intervals, version_order, bound_references, folded_dates, incoming_outcomes, absent_assets, first_wins, latest_reviews, review_transitions, monthly_outcomes, tiered_binding,
         asset_manifests, file_checks, manifest_status, snapshot_changes, block_coverage, violations, line_ranges, page_islands, titles_filled_down, text_sections, table_cells, requirement_rows,
         limit_conflicts, greedy_context, standards_usage, clause_citations, designations, text_quality, pointer_parts, distinct_content, evidence_trace, evidence_quality,

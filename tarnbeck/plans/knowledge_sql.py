@@ -63,8 +63,8 @@ select a.k as path, count(c.k) n_resolved from p a left join p c on c.resolved a
 with recursive e as (select source_asset_id s, record_id d from evidence where source_asset_id <> '' and record_id <> '' union select parent_id, child_id from taxonomy_relation where parent_id <> '' and child_id <> '' and parent_id <> child_id),
 w as (select distinct asset_id node, 0 depth from source_asset where deleted_at is not null union select e.d, w.depth + 1 from w join e on e.s = w.node where w.depth < 256)
 select depth::bigint depth, count(*) n_nodes from (select node, min(depth) depth from w group by node) group by depth""",
-    "bounded_expansion": f"""with {_N}, e as (select parent_id s, child_id d, bool_or(coalesce(has_evidence, false)) ok from taxonomy_relation where parent_id <> '' and child_id <> '' group by s, d),
-l0 as (select id start, id node, [id] path from n where kind = 'category' and ord % 100 = 0),
+    "category_expansion": f"""with {_N}, e as (select parent_id s, child_id d, bool_or(coalesce(has_evidence, false)) ok from taxonomy_relation where parent_id <> '' and child_id <> '' group by s, d),
+l0 as (select id start, id node, [id] path from n where kind = 'category'),
 t1 as (select l0.start, e.d, e.ok, list_contains(path, e.d) cyc, list_append(path, e.d) path from l0 join e on e.s = l0.node),
 l1 as (select start, d node, any_value(path) path from t1 where ok and not cyc group by start, d),
 t2 as (select l1.start, e.d, e.ok, list_contains(path, e.d) cyc, list_append(path, e.d) path from l1 join e on e.s = l1.node),
@@ -169,5 +169,3 @@ select kind, media_type, locator_quality, count(*) n from e left join n on n.id
     "evidence_quality": """with e as (select evidence_id, any_value(locator_quality) locator_quality, any_value(quote) quote, any_value(pdf_page) pdf_page from evidence where evidence_id is not null group by 1)
 select locator_quality, count(*) n, round(count(quote) / count(*), 6) quoted, round(count(pdf_page) / count(*), 6) paged from e group by 1""",
 }
-
-ORACLE["category_expansion"] = ORACLE["bounded_expansion"].replace(" and ord % 100 = 0", "")

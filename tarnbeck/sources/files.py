@@ -145,3 +145,41 @@ def write_report(df: DataFrame, folder: str, kind: str) -> str:
 def register(df: DataFrame, namespace: str, *parts: str, out: str = "registration_id") -> DataFrame:
     """``df`` with a deterministic id from its identity columns."""
     return df.withColumn(out, named_id(namespace, *parts))
+
+
+def read_page_caches(spark: SparkSession, path: str, originals: DataFrame) -> DataFrame:
+    """(source, asset_id, page, text, status, issue): the pages of page caches, bound to their originals by hash.
+
+    A cache is JSON: ``sha256`` of its original and ``pages``, an array of ``pdf_page`` and ``text``. originals: asset_id, page_count.
+    A cache that is no JSON, names no hash or one that no original has, or whose pages are no array, gives one row with status ``refused``; a page beyond the
+    original or met twice is ``refused``, a page without text ``failed``, one with undecoded glyphs ``needs_ocr``, any other ``partial`` (text without
+    places). Pages that a cache lacks are ``failed``.
+    """
+    raw = read_json_text(spark, path).select("source", F.lower(F.get_json_object("raw", "$.sha256")).alias("asset_id"), F.get_json_object("raw", "$.pages").alias("pages"), F.get_json_object("raw", "$").isNotNull().alias("valid"))
+    known = originals.select(F.col("asset_id"), F.col("page_count").cast("int").alias("page_count")).dropDuplicates(["asset_id"])
+    met = raw.join(known, "asset_id", "left")
+    refused = F.when(~F.col("valid"), "CACHE_INVALID").when(F.col("asset_id").isNull(), "CACHE_UNBOUND").when(F.col("page_count").isNull(), "CACHE_HASH_MISMATCH").when(~F.coalesce(F.col("pages").startswith("["), F.lit(False)), "CACHE_INVALID")
+    met = met.withColumn("issue", refused)
+    whole = met.where("issue is not null").select("source", "asset_id", F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("text"), F.lit("refused").alias("status"), "issue")
+    good = met.where("issue is null")
+    page = "array<struct<pdf_page:int,text:string>>"
+    cells = good.select("source", "asset_id", "page_count", F.explode(F.from_json("pages", page)).alias("x")).select("source", "asset_id", "page_count", F.col("x.pdf_page").alias("page"), "x.text")
+    lone = cells.groupBy("source", "asset_id", "page_count", "page").agg(F.min("text").alias("text"), F.count("*").alias("n"))
+    every = good.select("source", "asset_id", "page_count", F.explode(F.sequence(F.lit(1), F.greatest("page_count", F.lit(1)))).alias("page"))
+    pages = every.join(lone, ["source", "asset_id", "page_count", "page"], "full")
+    glyphs = (F.size(F.regexp_extract_all("text", F.lit("/G[0-9A-Fa-f]{2,}"), F.lit(0))) >= 3) | F.col("text").rlike(r"[\x{E000}-\x{F8FF}]")
+    bad = F.col("page").isNull() | (F.col("page") < 1) | (F.col("page") > F.col("page_count")) | (F.coalesce("n", F.lit(1)) > 1)
+    status = F.when(bad, "refused").when(F.col("text").isNull(), "failed").when(glyphs, "needs_ocr").otherwise("partial")
+    issue = F.when(bad, "CACHE_PAGE_INDEX_INVALID").when(F.col("n").isNull(), "cache_page_missing").when(F.col("text").isNull(), "cache_text_invalid").when(glyphs, "suspect_text_encoding")
+    return whole.unionByName(pages.select("source", "asset_id", "page", "text", status.alias("status"), issue.alias("issue")))
+
+
+def bundle_selection(files: DataFrame, content: str, order: list[str]) -> DataFrame:
+    """The files of a bundle: of those with the same content (hash, else id) the first in ``order``; rows without any are left out."""
+    return files.where(F.col(content).isNotNull() & (F.col(content) != "")).groupBy(content).agg(F.min_by(F.struct(*(c for c in files.columns if c != content)), F.struct(*order)).alias("__f")).select(content, "__f.*")
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV files with a header; arrays and structs as JSON, nulls as ``\\N``, so that empty texts stay apart from them."""
+    plain = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes]
+    df.select(*plain).write.option("header", True).option("escape", '"').option("nullValue", "\\N").csv(path)

@@ -1,9 +1,9 @@
 import pytest
 from compare import DATA, duck, duck_rows, spark_rows
 
-from tarnbeck.plans import general, ingestion, knowledge, retrieval, streams
+from tarnbeck.plans import corpus, general, ingestion, knowledge, retrieval, streams
 
-MODULES = (general, retrieval, knowledge, ingestion, streams)
+MODULES = (general, retrieval, knowledge, corpus, ingestion, streams)
 SF = DATA / "sf0.001"
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="no test tables here")
 

@@ -90,3 +90,31 @@ def test_stream(spark, tmp_path):
     events.run_to_table(events.windowed_counts(stream, "at", "value"), str(tmp_path / "win"), str(tmp_path / "c3")).awaitTermination()
     done = {(r["value"], r["n"]) for r in spark.read.parquet(str(tmp_path / "win")).collect()}
     assert ("a", 2) in done and ("b", 2) in done
+
+
+def test_page_caches(spark, tmp_path):
+    sha = "a" * 64
+    caches = {
+        "good": {"sha256": sha.upper(), "pages": [{"pdf_page": 1, "text": "一"}, {"pdf_page": 2, "text": "/Gab /Gcd /G01"}, {"pdf_page": 3, "text": None}, {"pdf_page": 9, "text": "x"}]},
+        "twice": {"sha256": "b" * 64, "pages": [{"pdf_page": 1, "text": "x"}, {"pdf_page": 1, "text": "y"}]},
+        "other": {"sha256": "c" * 64, "pages": []}, "unbound": {"pages": []}, "shape": {"sha256": sha, "pages": {}},
+    }
+    for name, c in caches.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(c), encoding="utf-8")
+    (tmp_path / "broken.json").write_text("{", encoding="utf-8")
+    originals = spark.createDataFrame([(sha, 4), ("b" * 64, 1)], "asset_id string, page_count int")
+    got = {(r["source"].rsplit("/", 1)[1][:-5], r["page"]): (r["status"], r["issue"]) for r in files.read_page_caches(spark, str(tmp_path), originals).collect()}
+    assert got == {
+        ("good", 1): ("partial", None), ("good", 2): ("needs_ocr", "suspect_text_encoding"), ("good", 3): ("failed", "cache_text_invalid"), ("good", 4): ("failed", "cache_page_missing"),
+        ("good", 9): ("refused", "CACHE_PAGE_INDEX_INVALID"), ("twice", 1): ("refused", "CACHE_PAGE_INDEX_INVALID"), ("other", None): ("refused", "CACHE_HASH_MISMATCH"),
+        ("unbound", None): ("refused", "CACHE_UNBOUND"), ("shape", None): ("refused", "CACHE_INVALID"), ("broken", None): ("refused", "CACHE_INVALID"),
+    }
+
+
+def test_bundle_and_csv(spark, tmp_path):
+    df = spark.createDataFrame([("h", 2, "b"), ("h", 1, "a"), (None, 3, "c"), ("", 4, "d"), ("i", 5, None)], "sha string, id int, name string")
+    assert {tuple(r) for r in files.bundle_selection(df, "sha", ["id"]).collect()} == {("h", 1, "a"), ("i", 5, None)}
+    files.write_csv(df.selectExpr("id", "array(name, 'x\"y') list", "nullif(name, 'b') name", "'' empty"), str(tmp_path / "out"))
+    back = spark.read.csv(str(tmp_path / "out"), header=True, escape='"', nullValue="\\N")
+    assert sorted(map(tuple, back.select("id", "list", "name", "empty").collect()))[0] == ("1", '["a","x\\"y"]', "a", "")
+    assert back.where("name is null").count() == 2
