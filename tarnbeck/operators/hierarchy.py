@@ -14,14 +14,19 @@ count, not a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from itertools import chain, repeat
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tarnbeck.session import materialize, remove, scratch_dir, write_out
 
-RAKED, SPLICED, KEPT = "raked", "spliced", "kept"
+RAKED, SPLICED = "raked", "spliced"
 #: Rounds take turns with these seeds; few, so that generated code is reused.
 SEEDS = 3
+#: Rounds computed in one job before the forest is written out again: what a round removes rides through the job's later rounds, so the
+#: first jobs, which see most rows, have one; the last number goes for all further jobs.
+ROUNDS = (1, 1, 2, 4)
 
 
 def clean_links(df: DataFrame, child: str = "child_id", parent: str = "parent_id") -> DataFrame:
@@ -43,107 +48,96 @@ def extra_parents(df: DataFrame, child: str = "child_id", parent: str = "parent_
     return links.join(tree, "node").where("parent != kept_parent").distinct()
 
 
-def _order(c: str, turn: int) -> Column:
-    return F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("k"))
-
-
 def _round(live: DataFrame, turn: int, paths: bool) -> DataFrame:
-    """One round: removed rows with their fate, and kept ones, all with their new links.
+    """One round: removed rows with their fate and turn, and kept ones, all with their new links.
 
     live: node, parent (null for a root), steps (links that the link to the parent
     stands for), least (smallest node spliced into that link), inner (those nodes, from
-    the top). Two message passings, each one aggregation by node: children report to
+    the top), and fate, only, turn of rows that an earlier round removed; those are passed on as they are. Two message
+    passings, each one explode and one aggregation by node, so the plan is one chain: children report to
     their parent, then spliced nodes hand their link to their only child. That child
     never hangs from a node removed in the same round: also a raked leaf takes the link over.
     """
-    link = ["parent", "steps", "least", *(["inner"] if paths else [])]
-    moving = F.col("parent").isNotNull() & (F.col("parent") != F.col("node"))
-    me = F.struct(*link)
-    told = live.select("node", me.alias("me"), F.lit(None).cast("string").alias("child")).unionByName(
-        live.where(moving).select(F.col("parent").alias("node"), F.lit(None).cast(live.select(me.alias("m")).schema["m"].dataType).alias("me"), F.col("node").alias("child"))
-    )
-    seen = told.groupBy("node").agg(F.first("me", ignorenulls=True).alias("me"), F.count("child").alias("below"), F.min("child").alias("only"))
-    seen = seen.select("node", "below", "only", *(F.col(f"me.{c}").alias(c) for c in link))
-    unary = moving & (F.col("below") == 1) & (_order("node", turn) < _order("only", turn)) & (_order("node", turn) < _order("parent", turn))
-    seen = seen.withColumn("fate", F.when(moving & (F.col("below") == 0), RAKED).when(unary, SPLICED).otherwise(KEPT))
-    own = F.struct("fate", "only", *link)
-    hand = F.struct(F.col("node").alias("via"), *link)
-    types = seen.select(own.alias("own"), hand.alias("hand")).schema
-    passed = seen.select("node", own.alias("own"), F.lit(None).cast(types["hand"].dataType).alias("hand")).unionByName(
-        seen.where(F.col("fate") == SPLICED).select(F.col("only").alias("node"), F.lit(None).cast(types["own"].dataType).alias("own"), hand.alias("hand"))
-    )
-    met = passed.groupBy("node").agg(F.first("own", ignorenulls=True).alias("own"), F.first("hand", ignorenulls=True).alias("hand"))
-    cut = F.col("hand").isNotNull()
-    mine = lambda c: F.col(f"own.{c}")
-    columns = [
-        "node",
-        mine("fate").alias("fate"),
-        mine("only").alias("only"),
-        F.when(cut, F.col("hand.parent")).otherwise(mine("parent")).alias("parent"),
-        F.when(cut, mine("steps") + F.col("hand.steps")).otherwise(mine("steps")).alias("steps"),
-        F.when(cut, F.least(mine("least"), "hand.via", "hand.least")).otherwise(mine("least")).alias("least"),
-    ]
-    if paths:
-        columns.append(F.when(cut, F.concat("hand.inner", F.array("hand.via"), mine("inner"))).otherwise(mine("inner")).alias("inner"))
-    return met.select(*columns)
+    inner = lambda text: text if paths else ""
+    order = lambda c: f"struct(xxhash64({c}, {turn % SEEDS}), {c})"
+    sql = f"""
+    WITH mine AS (
+      SELECT node, struct(parent, steps, least {inner(", inner")}, fate, only, turn) AS me, fate IS NULL AND parent IS NOT NULL AND parent <> node AS moves FROM {{live}}),
+    told AS (
+      SELECT inline(filter(array(
+        struct(node, me, CAST(NULL AS STRING) AS child),
+        struct(CASE WHEN moves THEN me.parent END AS node, IF(false, me, NULL) AS me, node AS child)), x -> x.node IS NOT NULL)) FROM mine),
+    seen AS (SELECT node, first(me, true) AS me, count(child) AS below, min(child) AS one FROM told GROUP BY node),
+    judged AS (
+      SELECT node, me, one, me.fate IS NULL AS live, CASE
+        WHEN me.fate IS NOT NULL OR me.parent IS NULL OR me.parent = node THEN me.fate
+        WHEN below = 0 THEN '{RAKED}'
+        WHEN below = 1 AND {order("node")} < {order("one")} AND {order("node")} < {order("me.parent")} THEN '{SPLICED}' END AS fate FROM seen),
+    stated AS (
+      SELECT node, live AND fate = '{SPLICED}' AS hands, one, struct(me.parent, me.steps, me.least {inner(", me.inner")}, fate,
+        IF(live, one, me.only) AS only, IF(live AND fate IS NOT NULL, {turn}, me.turn) AS turn) AS own FROM judged),
+    passed AS (
+      SELECT inline(filter(array(
+        struct(node, own, IF(false, struct(node AS via, own.*), NULL) AS hand),
+        struct(CASE WHEN hands THEN one END AS node, IF(false, own, NULL) AS own, struct(node AS via, own.*) AS hand)), x -> x.node IS NOT NULL)) FROM stated),
+    met AS (SELECT node, first(own, true) AS own, first(hand, true) AS hand FROM passed GROUP BY node)
+    SELECT node, own.fate, own.only, own.turn, IF(hand IS NULL, own.parent, hand.parent) AS parent, own.steps + coalesce(hand.steps, 0) AS steps,
+      least(own.least, hand.via, hand.least) AS least {inner(", IF(hand IS NULL, own.inner, concat(hand.inner, array(hand.via), own.inner)) AS inner")}
+    FROM met"""
+    return live.sparkSession.sql(sql, live=live)
 
 
 def contract(links: DataFrame, paths: bool = False, folder: str | None = None) -> tuple[list[DataFrame], DataFrame]:
     """The rounds' removals, and the core: roots, and one self-linked node for each cycle.
 
     links: node, parent, each node once. Parents that have no row of their own are roots.
-    Each round is one write; how many rows it removed is observed on the way.
+    Each job of ROUNDS makes one write; how many rows could still move is observed on the way.
     """
-    roots = links.select(F.col("parent").alias("node")).distinct().join(links.select("node"), "node", "left_anti")
-    live = links.withColumn("steps", F.lit(1).cast("long")).withColumn("least", F.lit(None).cast("string")).withColumn("inner", F.array().cast("array<string>"))
-    live = live.unionByName(roots.selectExpr("node", "cast(null as string) parent", "0L steps", "cast(null as string) least", "cast(array() as array<string>) inner"))
-    if not paths:
-        live = live.drop("inner")
+    spark = links.sparkSession
+    inner = ", CAST(array() AS array<string>) AS inner" if paths else ""
+    live = spark.sql(
+        f"""WITH ends AS (SELECT inline(array(struct(node, parent), struct(parent AS node, CAST(NULL AS STRING) AS parent))) FROM {{links}})
+        SELECT node, max(parent) AS parent, IF(max(parent) IS NULL, 0L, 1L) AS steps, CAST(NULL AS STRING) AS least {inner},
+          CAST(NULL AS STRING) AS fate, CAST(NULL AS STRING) AS only, CAST(NULL AS INT) AS turn FROM ends GROUP BY node""",
+        links=links,
+    )
     live = materialize(live, "forest", folder)
     rounds: list[DataFrame] = []
-    while True:
-        seen = Observation()
-        step = materialize(_round(live, len(rounds) % SEEDS, paths).observe(seen, F.count_if(F.col("fate") != KEPT).alias("removed")), "round", folder)
-        live = step.where(F.col("fate") == KEPT).drop("only", "fate")
-        if not seen.get["removed"]:
-            # A round without any leaf ends it only if nothing is left that could ever move.
-            moving = live.where("parent is not null and parent != node")
-            if moving.limit(1).count() == 0:
-                return rounds, live
-        rounds.append(step.where(F.col("fate") != KEPT))
+    first = 0
+    for n in chain(ROUNDS, repeat(ROUNDS[-1])):
+        step, seen, turns = live, Observation(), range(first, first + n)
+        first += n
+        for turn in turns:
+            step = _round(step, turn, paths)
+        moving = F.count_if(F.expr("fate IS NULL AND parent IS NOT NULL AND parent <> node")).alias("moving")
+        step = materialize(step.observe(seen, moving, *(F.count_if(F.col("turn") == t).alias(f"turn_{t}") for t in turns)), "round", folder)
+        rounds += [step.where(F.col("turn") == t) for t in turns if seen.get[f"turn_{t}"]]
+        live = step.where("fate IS NULL")
+        if not seen.get["moving"]:
+            return rounds, live
 
 
 def expand(rounds: list[DataFrame], core: DataFrame, paths: bool = False) -> DataFrame:
     """Replay the removals backwards: node, root, depth, cycle_id, on_cycle and, if asked for, path."""
-    cyclic = F.col("parent").isNotNull()
-    done = core.select(
-        "node",
-        F.when(~cyclic, F.col("node")).alias("root"),
-        F.when(~cyclic, F.lit(0).cast("long")).alias("depth"),
-        F.when(cyclic, F.least("node", "least")).alias("cycle_id"),
-        cyclic.alias("on_cycle"),
-        *([F.when(~cyclic, F.array("node")).alias("path")] if paths else []),
+    spark = core.sparkSession
+    path = ", IF(parent IS NULL, array(node), NULL) AS path" if paths else ""
+    seen = Observation()
+    done = spark.sql(
+        f"""SELECT node, IF(parent IS NULL, node, NULL) AS root, IF(parent IS NULL, 0L, NULL) AS depth,
+          IF(parent IS NOT NULL, least(node, least), NULL) AS cycle_id, parent IS NOT NULL AS on_cycle {path} FROM {{core}}""",
+        core=core,
     )
-    spark, schema, parts = done.sparkSession, done.schema, [write_out(done, "grown")]
-    above = ["root", "depth", "cycle_id", *(["path"] if paths else [])]
-
-    rings = core.where(cyclic).limit(1).count() > 0
+    schema, parts = done.schema, [write_out(done.observe(seen, F.count_if("on_cycle").alias("rings")), "grown")]
+    path = ", concat(up.path, inner, array(r.node)) AS path" if paths else ""
+    # A spliced node is on a cycle exactly if its only child is.
+    ring = f"fate = '{SPLICED}' AND coalesce(ring.on_cycle, false)", "LEFT JOIN (SELECT node, on_cycle FROM {done} WHERE on_cycle) ring ON ring.node = only"
     for removed in reversed(rounds):
         done = spark.read.schema(schema).parquet(*parts)  # one scan, however many parts
-        top = done.select(F.col("node").alias("parent"), *(F.col(c).alias(f"up_{c}") for c in above))
-        hung = removed.join(top, "parent")
-        on_cycle = F.lit(False)
-        if rings:  # a spliced node is on a cycle exactly if its only child is
-            ring = done.where("on_cycle").select(F.col("node").alias("only"), F.lit(True).alias("ring"))
-            hung = hung.join(ring, "only", "left")
-            on_cycle = (F.col("fate") == SPLICED) & F.coalesce("ring", F.lit(False))
-        grown = hung.select(
-            "node",
-            F.col("up_root").alias("root"),
-            (F.col("up_depth") + F.col("steps")).alias("depth"),
-            F.col("up_cycle_id").alias("cycle_id"),
-            on_cycle.alias("on_cycle"),
-            *([F.concat("up_path", "inner", F.array("node")).alias("path")] if paths else []),
+        on_cycle, join = ring if seen.get["rings"] else ("false", "")
+        grown = spark.sql(
+            f"""SELECT r.node, up.root, up.depth + steps AS depth, up.cycle_id, {on_cycle} AS on_cycle {path}
+            FROM {{removed}} r JOIN {{done}} up ON up.node = r.parent {join}""",
+            removed=removed, done=done,
         )
         parts.append(write_out(grown, "grown"))
     return spark.read.schema(schema).parquet(*parts)
