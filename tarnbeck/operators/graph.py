@@ -16,27 +16,39 @@ from pyspark.sql import functions as F
 from tarnbeck.session import materialize, write_out
 
 
+#: Steps of a closure that are computed in one job.
+HOPS = 3
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): all nodes reachable from any seed over (src, dst), with the fewest steps.
 
     Seeds have depth 0. Cycles end because a node is taken once, so it ends by itself. Null
     ends are no edges. Where nodes are left beyond ``max_depth`` steps, it is an error, no shorter result.
+
+    A job takes HOPS steps. What a step reaches again from a node seen before is itself seen, or reached by an earlier step of
+    the job, so the fewest steps stand and one anti join at the job's end does.
     """
     links = materialize(edges.select("src", "dst").where("src is not null and dst is not null and src != dst").distinct(), "edges")
     spark = edges.sparkSession
     start = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct().withColumn("depth", F.lit(0))
     parts, schema = [write_out(start, "front")], start.schema
-    for depth in count(1):
-        front, seen = spark.read.schema(schema).parquet(parts[-1]), spark.read.schema(schema).parquet(*parts)  # one scan, however many rounds
-        step = front.join(links, front.node == links.src).select(F.col("dst").alias("node")).distinct()
+    for depth in count(0, HOPS):
+        front, seen = spark.read.schema(schema).parquet(parts[-1]).where(F.col("depth") == depth), spark.read.schema(schema).parquet(*parts)  # one scan, however many rounds
+        met, step = None, front.select("node")
+        for hop in range(depth + 1, depth + HOPS + 1):
+            step = step.join(links, step.node == links.src).select(F.col("dst").alias("node")).distinct()
+            at = step.withColumn("depth", F.lit(hop))
+            met = at if met is None else met.unionByName(at)
         grown = Observation()
-        fresh = step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).observe(grown, F.count("*").alias("n"))
-        parts.append(write_out(fresh, "front"))
-        if not grown.get["n"]:
-            break
-        if max_depth is not None and depth > max_depth:
-            raise ValueError(f"{grown.get['n']} nodes are more than {max_depth} steps from the seeds")
-    return spark.read.schema(schema).parquet(*parts)
+        fresh = met.groupBy("node").agg(F.min("depth").alias("depth")).join(seen.select("node"), "node", "left_anti")
+        last = F.col("depth") == depth + HOPS
+        beyond = F.lit(False) if max_depth is None else F.col("depth") > max_depth
+        parts.append(write_out(fresh.observe(grown, F.count_if(last).alias("last"), F.count_if(beyond).alias("beyond")), "front"))
+        if grown.get["beyond"]:
+            raise ValueError(f"nodes are more than {max_depth} steps from the seeds, {grown.get['beyond']} of them among the next")
+        if not grown.get["last"]:
+            return spark.read.schema(schema).parquet(*parts)
 
 
 def expand(edges: DataFrame, starts: DataFrame, max_depth: int = 8, max_nodes: int = 100) -> tuple[DataFrame, DataFrame]:

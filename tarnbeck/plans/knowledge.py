@@ -68,8 +68,15 @@ def condition_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- taxonomy ----------------------------------------------------------------------------------
+_TREES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(table(spark, sf_dir, "taxonomy_relation"))
+    """The tree of the relation table: contracted once by a program for each folder of tables, read by all that need it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _TREES:
+        _TREES[key] = hierarchy(table(spark, sf_dir, "taxonomy_relation"))
+    return _TREES[key]
 
 
 def inherited_states(spark: SparkSession, sf_dir: str) -> DataFrame:
