@@ -14,7 +14,6 @@ parts of the texts that hold candidates.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -216,11 +215,8 @@ def _read_index(spark: SparkSession, path: str, mode: str) -> tuple[DataFrame, D
 def index_health(spark: SparkSession, path: str, mode: str) -> str:
     """``ready``, or ``missing`` where no whole index of the mode's form is there."""
     _form(mode)
-    try:
-        _read_index(spark, path, mode)
-    except AnalysisException:
-        return "missing"
-    return "ready"
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{FORM[mode]}/ready/_SUCCESS")
+    return "ready" if whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole) else "missing"
 
 
 def search_index(spark: SparkSession, path: str, phrases: DataFrame | dict[str, str], mode: str = "zh_ngram_phrase") -> DataFrame:

@@ -131,4 +131,14 @@ from (select node, path, unnest(range(1, len(path))) i from walk)""",
     "p3_found": _BROKEN + " select distinct ref_table, ref_field, ref_id, reason from found where reason is not null",
     "p3_counts": _BROKEN + " , one as (select ref_table, ref_field, ref_id, max(rc) rc, min(reason) reason from found where reason is not null group by all)"
     " select ref_table, ref_field, strftime(rc, '%Y-%m') period, reason, count(*) n_references from one group by all",
+    # Each walk up names a node once, so it ends where it would come round.
+    "p1_all_descendants": """
+with recursive links as (select child_id n, min(parent_id) p from taxonomy_relation
+  where child_id <> '' and parent_id <> '' group by child_id),
+up as (select n node, p ancestor, 1::bigint distance, [n] seen from links where n <> p
+  union all select up.node, l.p, up.distance + 1, list_append(up.seen, up.ancestor) from up join links l on l.n = up.ancestor where l.p <> up.ancestor and not list_contains(up.seen, l.p))
+select ancestor, node, distance from up""",
 }
+ORACLE["p1_all_nodes"] = ORACLE["p1_nodes"] + """
+union all select distinct child_id, child_id, 0::bigint, null, child_id from taxonomy_relation
+where child_id <> '' and child_id not in (select n from links) and child_id not in (select p from links)"""

@@ -168,4 +168,15 @@ s as (select asset_id a, min(media_type) media_type from source_asset where asse
 select kind, media_type, locator_quality, count(*) n from e left join n on n.id = e.record_id left join s using (a) group by all""",
     "evidence_quality": """with e as (select evidence_id, any_value(locator_quality) locator_quality, any_value(quote) quote, any_value(pdf_page) pdf_page from evidence where evidence_id is not null group by 1)
 select locator_quality, count(*) n, round(count(quote) / count(*), 6) quoted, round(count(pdf_page) / count(*), 6) paged from e group by 1""",
+    # A blank after each word that may follow a clause keeps neighbouring citations apart: the patterns here cannot look around.
+    "clause_citations": f"""with {_B}, t as (select block_id, regexp_replace(regexp_replace(regexp_replace(text_raw, '(?m)^\\s*(?:[A-Z]\\.)?\\d+(?:\\.\\d+)*\\s', ' ', 'g'), '<[^>]*>|[（(]\\s*[A-Z]?\\.?\\d+\\s*[)）]', ' ', 'g'), '(的|中|规定|条|款)', '\\1 ', 'g') t from b),
+c as (select distinct block_id, unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9.])([A-Z](?:\\.\\d+)+|\\d+(?:\\.\\d+)+)(?:的|中|规定|条|款)', 1)) clause from t)
+select clause, count(*) n_blocks from c group by clause""",
+    "text_quality": """with d as (select doc_id, text, regexp_replace(text, '[\\s\\x0b\\x85\\p{Z}]', '', 'g') seen from documents),
+ch as (select doc_id, c, row_number() over (partition by doc_id) i from (select doc_id, unnest(string_split(text, '')) c from documents where text <> '')),
+runs as (select doc_id, c, i - row_number() over (partition by doc_id, c order by i) g from ch where not regexp_matches(c, '\\s')),
+rep as (select distinct doc_id from (select doc_id from runs group by doc_id, c, g having count(*) >= 20))
+select concat_ws(',', case when text is null or seen = '' then 'empty' end, case when regexp_matches(text, '\\x{FFFD}|[\\x{E000}-\\x{F8FF}]|\\(cid:\\d+\\)') then 'garbled' end,
+  case when rep.doc_id is not null then 'repeated' end, case when seen <> '' and length(regexp_replace(seen, '[^\\p{P}\\p{S}]', '', 'g')) * 2 > length(seen) then 'symbols' end) flags, count(*) n
+from d left join rep using (doc_id) group by 1""",
 }
